@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 #: Bounds of a training sample: rows per class, and characters of a text that may be trained on.
 PER_CLASS = 1500
-MAX_CHARS = 40_000
+MAX_CHARS = 12_000
 CLASSES = 32
+#: Bytes that fitting (on the driver) takes through the text kernels at once.
+FIT_BYTES = 1 << 19
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_class: int, max_chars: int, where: Column | None = None) -> list[tuple[int, str]]:

@@ -236,5 +236,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` whose id has no match (a null id is matched as well)."""
-    bad = find_contamination(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    own = "__bad_id"  # a name that no column of docs has
+    while own in docs.columns:
+        own += "_"
+    bad = find_contamination(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(bad.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(own)), "left_anti")

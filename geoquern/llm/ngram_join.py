@@ -393,10 +393,13 @@ def jaccard_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, tar
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that stand for their class (the smallest id), one row for each id."""
-    classes = jaccard_classes(docs, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_id"), "class_id").checkpoint()
-    heads = classes.where(F.col("_id").eqNullSafe(F.col("class_id"))).select("_id").distinct()
-    again = classes.groupBy("_id").count().where("count > 1").select("_id")
-    kept = docs.join(heads.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    own = "__head_id"  # a name that no column of docs has
+    while own in docs.columns:
+        own += "_"
+    classes = jaccard_classes(docs, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias(own), "class_id").checkpoint()
+    heads = classes.where(F.col(own).eqNullSafe(F.col("class_id"))).select(own).distinct()
+    again = classes.groupBy(own).count().where("count > 1").select(own)
+    same = F.col(id_col).eqNullSafe(F.col(own))
+    kept = docs.join(heads.hint("shuffle_hash"), same, "left_semi")
     single = kept.join(again.hint("shuffle_hash"), same, "left_anti")
     return single.unionByName(kept.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, text_col]))

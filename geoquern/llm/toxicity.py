@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._sample import MAX_CHARS, PER_CLASS, labelled_sample
+from ._sample import FIT_BYTES, MAX_CHARS, PER_CLASS, labelled_sample
 from ._text import ALNUM, chunks, lower_ascii, mix, span_hashes, word_spans
 
 BITS = 18
 RUN = 128
 SPAN = 0.5
-SUPPORT, LOG_ODDS, CLEAN_COST = 3, 2.0, 3.0  # of a token type that marks its tokens
+SUPPORT, LOG_ODDS, CLEAN_COST, COMMON = 3, 2.0, 3.0, 0.05  # of a token type that marks its tokens
 _U = np.uint64
 
 
@@ -118,10 +118,18 @@ def forward_backward(u: np.ndarray, start: np.ndarray, length: np.ndarray, trans
     return p, np.log(scale).sum(0), pairs
 
 
+def unary_scores(w: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each token's bins, column by column (no table of all of them)."""
+    out = np.zeros(len(feats))
+    for c in range(feats.shape[1]):
+        out += w[feats[:, c]]
+    return out
+
+
 def marginals(model: Crf, data: np.ndarray, s, e, first) -> np.ndarray:
     if not len(s):
         return np.zeros(0)
-    u = model.unary[features(data, s, e, first)].sum(1) + model.bias
+    u = unary_scores(model.unary, features(data, s, e, first)) + model.bias
     return forward_backward(u, *_runs(first), model.trans)[0]
 
 
@@ -139,7 +147,8 @@ def summary(p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _label_tokens(feats: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Tags of training tokens: the fewest types (words or prefixes) that explain the toxic documents.
 
-    Types are taken greedily by how many unexplained toxic documents hold them, less those
+    Types that are common in toxic documents and all but absent from clean ones come first; then
+    types are taken greedily by how many unexplained toxic documents hold them, less those
     of clean documents; so words that merely stand in copies of one text are not taken."""
     size = 1 << BITS
     key = np.unique(np.concatenate([doc.astype(np.int64) * (2 * size) + c * size + feats[:, c] for c in (0, 1)]))
@@ -149,7 +158,9 @@ def _label_tokens(feats: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarr
     speaks = np.log((pos + 0.5) / n1) - np.log((neg + 0.5) / n0) >= LOG_ODDS
     own = (y[d] == 1) & speaks[f]
     d, f = d[own], f[own]
-    chosen = np.zeros(2 * size, bool)
+    chosen = speaks & (pos >= np.maximum(SUPPORT, COMMON * n1)) & (pos >= CLEAN_COST * 10 * neg)
+    left = ~np.isin(d, d[chosen[f]])
+    d, f = d[left], f[left]
     while len(f):
         gain = np.bincount(f, minlength=2 * size) - CLEAN_COST * neg
         best = int(gain.argmax())
@@ -168,7 +179,7 @@ def fit_crf(sample: list[tuple[int, str]], rounds: int = 30, rate: float = 0.3,
         return none
     column = pa.array([t for _, t in sample], pa.string())
     feats, doc, firsts, base = [], [], [np.zeros(1, np.int64)], 0
-    for at, _, data, offsets in chunks(None, column):
+    for at, _, data, offsets in chunks(None, column, FIT_BYTES):
         data = lower_ascii(data)
         s, e, first = tokens(data, offsets)
         if len(s):
@@ -191,7 +202,7 @@ def fit_crf(sample: list[tuple[int, str]], rounds: int = 30, rate: float = 0.3,
     count = max(1.0, gold.sum())
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, bias, trans)]
     for step in range(1, rounds + 1):
-        p, _, pairs = forward_backward(w[feats].sum(1) + bias[0], start, length, trans)
+        p, _, pairs = forward_backward(unary_scores(w, feats) + bias[0], start, length, trans)
         g = (p - gold) / count
         gw = np.zeros(len(w))
         for c in range(feats.shape[1]):
@@ -204,7 +215,7 @@ def fit_crf(sample: list[tuple[int, str]], rounds: int = 30, rate: float = 0.3,
             v *= 0.999
             v += 0.001 * d * d
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
-    p, _, _ = forward_backward(w[feats].sum(1) + bias[0], start, length, trans)
+    p, _, _ = forward_backward(unary_scores(w, feats) + bias[0], start, length, trans)
     return Crf(w, float(bias[0]), trans, _fit_score(*summary(p, first), y))
 
 
