@@ -31,12 +31,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated runs of 20; a document of which nothing is left goes."""
-    runs = substring_dedup.dedup_substrings(docs).select(F.col("doc_id").alias("_id"), "n_removed", F.col("kept_text").alias("_kept"))
-    cut = runs.where("n_removed > 0").hint("shuffle_hash")
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]), "left")
-    text = F.when(F.col("n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    joined = joined.withColumn("text", text).where(F.col("n_removed").isNull() | (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    names = [n + "_" * sum(c.startswith(n) for c in docs.columns) for n in ("__cut_id", "__cut_words", "__cut_text")]
+    cut = substring_dedup.dedup_substrings(docs).where("n_removed > 0").select("doc_id", "n_removed", "kept_text").toDF(*names)
+    own, gone, kept = (F.col(n) for n in names)
+    joined = docs.join(cut.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(own), "left")
+    joined = joined.where(gone.isNull() | (F.length(F.regexp_replace(kept, r"\s+", "")) > 0))
+    text = F.when(gone.isNotNull(), kept).otherwise(F.col("text"))
+    return joined.withColumn("text", text).withColumn("n_chars", F.when(gone.isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
