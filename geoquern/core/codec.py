@@ -105,7 +105,10 @@ class _Reader:
         return list(zip(*[iter(v)] * dims, strict=True)) if n else []
 
 
-@lru_cache(maxsize=1024)
+#: Small values are kept for as many rows as an Arrow batch holds, large ones only if they are few (constants).
+SMALL = 1024
+
+
 def _decode(b: bytes) -> Geom:
     srid, at = None, 0
     if is_gpb(b):
@@ -115,6 +118,10 @@ def _decode(b: bytes) -> Geom:
     return g if srid is None else g.with_data(g.data, srid=srid)
 
 
+_decode_small = lru_cache(maxsize=1 << 14)(_decode)
+_decode_large = lru_cache(maxsize=32)(_decode)
+
+
 def decode(b: bytes) -> Geom:
     """A geometry from GeoPackage binary, WKB or EWKB, told apart by content."""
     if isinstance(b, str):
@@ -122,7 +129,7 @@ def decode(b: bytes) -> Geom:
     b = bytes(b)
     if not b:
         raise GeometryError("empty geometry bytes")
-    return _decode(b)
+    return (_decode_small if len(b) <= SMALL else _decode_large)(b)
 
 
 def wkb(g: Geom, srid_flag: bool = False) -> bytes:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from ..core import h3
 from ..core import model as M
 from ..core.model import Geom, GeometryError
 from .registry import fn
@@ -121,7 +122,7 @@ def h3_latlng_to_cell(g, res):
         raise GeometryError("h3_latlng_to_cell takes longitude and latitude (EPSG:4326)")
     if not 0 <= res <= 15:
         raise GeometryError("an H3 resolution lies between 0 and 15")
-    raise GeometryError("h3_latlng_to_cell is not built yet; cell numbers can be read, written and coarsened")
+    return h3.cell(g.data[0], g.data[1], res)
 
 
 def _h3_valid(c: int) -> int:

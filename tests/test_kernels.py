@@ -181,6 +181,18 @@ def test_geohash_and_h3_text():
     assert f("h3_cell_to_string", f("h3_cell_to_parent", 0x892F5AADC6FFFFF, 5)) == "852f5aaffffffff"
 
 
+@pytest.mark.parametrize(("lon", "lat", "res", "want"), [(139.745433, 35.658581, 0, 577305177233555455), (127.679245, 26.212401, 9, 618297636975804415), (0.0, 0.0, 7, 610049622659825663)])
+def test_h3_cells(lon, lat, res, want):
+    assert f("h3_latlng_to_cell", g(f"POINT({lon} {lat})", 4326), res) == want
+
+
+def test_h3_base_cells_are_complete():
+    from geoquern.core import h3
+
+    cells = h3._base_cells()
+    assert {v[0] for v in cells.values()} == set(range(122)) and sum(v[2] for v in cells.values()) == 60
+
+
 def test_routes():
     edges = [(1, 1, 2, 1.0), (2, 2, 3, 2.0), (3, 1, 3, 5.0), (4, 3, 1, -1.0)]
     assert route.path_cost(edges, 1, 3) == 3.0

@@ -158,3 +158,31 @@ def test_relate_matches_jts(spark):
         for b in shapes:
             own = FUNCTIONS["ST_Relate"].call(codec.encode(codec.parse_wkt(a)), codec.encode(codec.parse_wkt(b)))
             assert own == read[a].relate(read[b]).toString(), (a, b)
+
+
+def test_overlay_and_buffers_match_jts(spark):
+    """Areas of random stars against an independent library (driver only)."""
+    import math
+    import random
+
+    reader = spark._jvm.org.locationtech.jts.io.WKTReader()
+    random.seed(11)
+
+    def star(n):
+        cx, cy = random.uniform(-5, 5), random.uniform(-5, 5)
+        pts = [(cx + r * math.cos(2 * math.pi * k / n), cy + r * math.sin(2 * math.pi * k / n)) for k, r in ((k, random.uniform(1, 8)) for k in range(n))]
+        return "POLYGON((" + ",".join(f"{x!r} {y!r}" for x, y in [*pts, pts[0]]) + "))"
+
+    f = lambda n, *a: FUNCTIONS[n].call(*a)
+    for _ in range(25):
+        a, b = star(random.randint(4, 11)), star(random.randint(4, 11))
+        ga, gb, ja, jb = f("ST_GeomFromText", a), f("ST_GeomFromText", b), reader.read(a), reader.read(b)
+        for name, other in (("ST_Intersection", ja.intersection(jb)), ("ST_Union", ja.union(jb)), ("ST_Difference", ja.difference(jb)), ("ST_SymDifference", ja.symDifference(jb))):
+            out = f(name, ga, gb)
+            assert f("ST_Area", out) == pytest.approx(other.getArea(), rel=1e-9, abs=1e-9)
+            assert f("ST_IsValid", out)
+        assert f("ST_Relate", ga, gb) == ja.relate(jb).toString()
+        assert f("ST_Distance", ga, gb) == pytest.approx(ja.distance(jb), abs=1e-9)
+        assert f("ST_Area", f("ST_ConvexHull", ga)) == pytest.approx(ja.convexHull().getArea())
+        for r in (0.5, 2.0, -0.4):
+            assert f("ST_Area", f("ST_Buffer", ga, r)) == pytest.approx(ja.buffer(r, 8).getArea(), rel=0.01, abs=0.02)
