@@ -434,12 +434,11 @@ def geo_driving_distance(spark, d):
 
 @query(_SQL["geo_driving_distance"])
 def geo_bounded_costs(spark, d):
-    from pyspark import SparkContext
-
-    if not SparkContext._active_spark_context._jsc.sc().getCheckpointDir().isDefined():
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():  # where the session names no folder, as in tests
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
     return agg.bounded_costs(_edges(spark, d), 1, 6.0).select("node", F.round("agg_cost", 6).alias("agg_cost"))
 
 

@@ -118,8 +118,16 @@ def _decode(b: bytes) -> Geom:
     return g if srid is None else g.with_data(g.data, srid=srid)
 
 
-_decode_small = lru_cache(maxsize=1 << 14)(_decode)
 _decode_large = lru_cache(maxsize=32)(_decode)
+_seen: dict[bytes, Geom] = {}
+SEEN = 1 << 14
+
+
+def _remember(b: bytes, g: Geom) -> Geom:
+    if len(_seen) >= SEEN:
+        _seen.clear()
+    _seen[b] = g
+    return g
 
 
 def decode(b: bytes) -> Geom:
@@ -129,7 +137,10 @@ def decode(b: bytes) -> Geom:
     b = bytes(b)
     if not b:
         raise GeometryError("empty geometry bytes")
-    return (_decode_small if len(b) <= SMALL else _decode_large)(b)
+    if len(b) > SMALL:
+        return _decode_large(b)
+    g = _seen.get(b)
+    return _remember(b, _decode(b)) if g is None else g
 
 
 def wkb(g: Geom, srid_flag: bool = False) -> bytes:
@@ -169,8 +180,13 @@ def wkb(g: Geom, srid_flag: bool = False) -> bytes:
 
 
 def encode(g: Geom) -> bytes:
-    """The canonical value: GeoPackage binary without envelope."""
-    return b"GP\x00" + bytes([1 | (0x10 if M.is_empty(g) else 0)]) + struct.pack("<i", g.srid) + wkb(g)
+    """The canonical value: GeoPackage binary without envelope.
+
+    Small values are remembered, so a function around this one need not decode them again."""
+    b = b"GP\x00" + bytes([1 | (0x10 if M.is_empty(g) else 0)]) + struct.pack("<i", g.srid) + wkb(g)
+    if g.kind <= M.MULTIPOLYGON and len(b) <= SMALL and b not in _seen:
+        _remember(b, g)
+    return b
 
 
 def payload(b: bytes) -> tuple[int, bytes]:

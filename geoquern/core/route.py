@@ -47,12 +47,7 @@ def _search(arcs: dict, start, stop=None, limit: float = math.inf):
     return done, came
 
 
-def shortest_path(edges, start, end) -> list[tuple] | None:
-    """Rows (seq, node, edge, cost, agg_cost); edge -1 and cost 0 on arrival."""
-    arcs = _arcs(edges)
-    if start == end or start not in arcs or end not in arcs:
-        return None
-    done, came = _search(arcs, start, end)
+def _rows(done: dict, came: dict, start, end) -> list[tuple] | None:
     if end not in done:
         return None
     steps, at = [], end
@@ -66,6 +61,26 @@ def shortest_path(edges, start, end) -> list[tuple] | None:
     return [*rows, (len(rows) + 1, end, -1, 0.0, total)]
 
 
+def shortest_path(edges, start, end) -> list[tuple] | None:
+    """Rows (seq, node, edge, cost, agg_cost); edge -1 and cost 0 on arrival."""
+    return shortest_path_many(edges, [(start, end)])[0]
+
+
+def shortest_path_many(edges, requests: list[tuple]) -> list[list[tuple] | None]:
+    """Paths for (start, end) pairs on one graph: it is built once, and each start searched once."""
+    arcs = _arcs(edges)
+    by: dict = {}
+    for k, (a, b) in enumerate(requests):
+        if a != b and a in arcs and b in arcs:
+            by.setdefault(a, []).append((k, b))
+    out: list = [None] * len(requests)
+    for a, wanted in by.items():
+        done, came = _search(arcs, a, wanted[0][1] if len(wanted) == 1 else None)
+        for k, b in wanted:
+            out[k] = _rows(done, came, a, b)
+    return out
+
+
 def path_cost(edges, start, end) -> float | None:
     path = shortest_path(edges, start, end)
     return None if path is None else path[-1][4]

@@ -94,11 +94,8 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, group: str, reverse: s
         out = []
         for graph, asked in zip(e.to_pylist(), r.to_pylist(), strict=True):
             rows = _edges(graph, reverse is not None)
-            own = []
-            for q in asked:
-                p = route.shortest_path(rows, q["start_vid"], q["end_vid"])
-                own.append({"start_vid": q["start_vid"], "end_vid": q["end_vid"], "path": None if p is None else [dict(zip(names, x, strict=True)) for x in p]})
-            out.append(own)
+            paths = route.shortest_path_many(rows, [(q["start_vid"], q["end_vid"]) for q in asked])
+            out.append([{**q, "path": None if p is None else [dict(zip(names, x, strict=True)) for x in p]} for q, p in zip(asked, paths, strict=True)])
         return pa.array(out, RESULT)
 
     step = pa.struct([("seq", pa.int32()), ("node", pa.int64()), ("edge", pa.int64()), ("cost", pa.float64()), ("agg_cost", pa.float64())])
