@@ -27,8 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: A text without any of these stems (in lower case) cannot match a rule.
-STEMS = ("licen", "spdx", "copyright", "permission", "redistribut", "public domain", "creative commons", "all rights reserved", "warrant", "copyleft", "proprietary")
+#: Every rule demands a word with one of these stems (a test holds them together), so a text without any cannot match.
+STEMS = ("licen", "spdx", "copyright", "copyleft", "permission", "redistribut", "domain", "commons", "reserved", "warrant", "proprietary", "commercial", "advertising", "clause", "cc0", "attribution", "released", "distributed", "published", "provided", "available")
 
 #: label, full name, short identifier (both in the notation; the identifier may be empty).
 LICENSES = (
