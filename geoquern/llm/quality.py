@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._sample import MAX_CHARS, PER_CLASS, labelled_sample
+from ._sample import FIT_BYTES, MAX_CHARS, PER_CLASS, labelled_sample
 from ._text import NOT_SPACE, chunks, mix, span_hashes, word_spans
 
 BITS = 16
@@ -77,15 +77,15 @@ class OrdinalModel:
 def _csr(texts: list[str]):
     column = pa.array(texts, pa.string())
     rows, cols, vals = [], [], []
-    for at, _, data, offsets in chunks(None, column):
+    for at, _, data, offsets in chunks(None, column, FIT_BYTES):
         bins, first = features(data, offsets)
         n = np.diff(first)
         doc = np.repeat(np.arange(len(n)), n)
         key, count = np.unique(np.repeat(doc, 3) * (1 << BITS) + bins.reshape(-1), return_counts=True)
         d = key >> BITS
-        rows.append(d + at)
-        cols.append(key & ((1 << BITS) - 1))
-        vals.append(SCALE * count / n[d])
+        rows.append((d + at).astype(np.int32))
+        cols.append((key & ((1 << BITS) - 1)).astype(np.int32))
+        vals.append((SCALE * count / n[d]).astype(np.float32))
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
 
 
