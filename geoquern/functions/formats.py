@@ -304,6 +304,8 @@ def as_svg(g, rel=0, digits=15):
 def as_mvt_geom(g, bounds, extent=4096, buf=256, clip=1):
     if any(not math.isfinite(v) for c in M.coords(g) for v in c[:2]):
         raise GeometryError("coordinates must be finite")
+    if g.kind == M.COLLECTION or g.kind in M.SURFACES:
+        raise GeometryError("ST_AsMVTGeom: collections and surfaces are not supported")
     g = M.flat(g)
     box = M.envelope(bounds)
     if box is None or box[0] == box[2] or box[1] == box[3]:
