@@ -15,6 +15,7 @@ from ..core import model as M
 from ..core.model import Geom, GeometryError
 from . import FUNCTIONS, Function
 from .areal import union_all
+from .batch import BATCH
 from .formats import encode_tile
 
 TYPES = {"binary": BinaryType(), "string": StringType(), "double": DoubleType(), "int": IntegerType(), "bigint": LongType(), "boolean": BooleanType()}
@@ -28,6 +29,11 @@ def _series(name: str, quiet: bool):
     out = ARROW[FUNCTIONS[name].returns]
 
     def run(*columns: pa.Array) -> pa.Array:
+        whole = BATCH.get(name)
+        if whole is not None and any(len(s) == len(columns) for s in FUNCTIONS[name].signatures):
+            out_column = whole(*columns)
+            if out_column is not None:
+                return out_column.cast(out)
         call = FUNCTIONS[name].call
         rows = zip(*(c.to_pylist() for c in columns), strict=True)
         if not quiet:

@@ -263,3 +263,31 @@ def test_prepared():
     assert w.distance(g("POINT(13 14)")) == 5.0 and w.dwithin(g("POINT(13 14)"), 5.0) and w.srid == 4326
     assert w.as_text() == SQUARE and Prepared.from_blob(w.as_gpb()).as_binary() == w.as_binary()
     assert w.transform(3857).srid == 3857 and '"Polygon"' in w.as_geojson()
+
+
+def test_whole_batches_agree_with_rows():
+    import random
+
+    import pyarrow as pa
+
+    from geoquern.functions.batch import BATCH
+
+    random.seed(6)
+    pts = [f("ST_Point", random.uniform(-2, 12), random.uniform(-2, 12), 4326) for _ in range(200)]
+    pts += [f("ST_Point", float(x), float(y), 4326) for x in (0, 3, 4, 5, 6, 10) for y in (0, 4, 5, 6, 10)]
+    qts = pts[::-1]
+    rects = [f("ST_MakeEnvelope", float(k % 7), 0.0, float(k % 7 + 1 + k % 3), 2.0, 4326) for k in range(len(pts))]
+    const = [g(HOLED, 4326)] * len(pts)
+    col = lambda v: pa.array(v, pa.binary())
+    cases = {"ST_X": [pts], "ST_SRID": [rects], "ST_MinX": [rects], "ST_YMax": [rects], "ST_Area": [rects], "ST_Perimeter": [rects], "ST_Distance": [pts, qts], "ST_Azimuth": [pts, qts],
+             "ST_DistanceSphere": [pts, qts], "ST_Intersects": [pts, const], "ST_Within": [pts, const], "ST_Contains": [const, pts], "ST_Covers": [const, pts]}
+    for name, args in cases.items():
+        got = BATCH[name](*map(col, args)).to_pylist()
+        for x, y in zip(got, (f(name, *r) for r in zip(*args, strict=True)), strict=True):
+            assert x == (pytest.approx(y, rel=1e-12, abs=1e-12) if isinstance(y, float) else y), name
+        assert BATCH[name](*[col([None, *a[1:]]) for a in args]) is None or name in ("ST_Area",)
+    x, y = pa.array([1.0, 2.5]), pa.array([3.0, -4.0])
+    assert BATCH["ST_MakePoint"](x, y).to_pylist() == [f("ST_MakePoint", 1.0, 3.0), f("ST_MakePoint", 2.5, -4.0)]
+    assert BATCH["ST_MakePoint"](x, y, x) is None
+    assert BATCH["ST_Point"](x, y, pa.array([4326, 0], pa.int32())).to_pylist() == [f("ST_Point", 1.0, 3.0, 4326), f("ST_Point", 2.5, -4.0, 0)]
+    assert BATCH["ST_MakeEnvelope"](x, y, x, y).to_pylist() == [f("ST_MakeEnvelope", a, b, a, b) for a, b in ((1.0, 3.0), (2.5, -4.0))]
