@@ -350,7 +350,7 @@ def test_forward_backward_matches_enumeration():
 def test_toxicity_on_held_out_rows(spark, edge, empty):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    m = toxicity.fit_toxicity(docs, labels, where=F.col("_id") % 4 != 2, per_class=700)
+    m = toxicity.fit_toxicity(docs, labels, where=F.col("_id") % 4 != 2)
     scored = toxicity.score_toxicity(docs, m)
     held = scored.join(labels, "doc_id").where("doc_id % 4 = 2").select("toxic", "score").collect()
     y, p = np.array([r.toxic for r in held]), np.array([r.score >= 0.3 for r in held])
