@@ -96,7 +96,7 @@ _IN = f"{{x}} BETWEEN {WINDOW[0]} AND {WINDOW[2]} AND {{y}} BETWEEN {WINDOW[1]}
 # -- filters and joins -----------------------------------------------------
 def _window_points(spark, d) -> DataFrame:
     own = points(_t(spark, d, "customer"), "c_custkey")
-    own = frame.prepare_points(own, "lon", "lat").withColumn("geom", call("ST_Point", F.col("lon"), F.col("lat"), F.lit(4326)))
+    own = frame.prepare_points(own, "lon", "lat", cells=False).withColumn("geom", call("ST_Point", F.col("lon"), F.col("lat"), F.lit(4326)))
     window = fold("ST_MakeEnvelope", *WINDOW, 4326)
     return frame.window_query(own, window, "ST_Intersects")
 
@@ -248,7 +248,7 @@ def geo_interchange(spark, d):
 def geo_linear(spark, d):
     k = F.col("o_orderkey").cast("long")
     p, q = call("ST_MakePoint", lon(k), lat(k)), call("ST_MakePoint", lon(k + 1), lat(k + 1))
-    o = _t(spark, d, "orders").select("o_orderkey", call("ST_MakeLine", p, q).alias("g"))
+    o = _spread(_t(spark, d, "orders").select("o_orderkey")).select("o_orderkey", call("ST_MakeLine", p, q).alias("g"))
     quarter = call("ST_LineInterpolatePoint", "g", F.lit(0.25))
     half = call("ST_LineLocatePoint", "g", call("ST_LineInterpolatePoint", "g", F.lit(0.5)))
     return o.select("o_orderkey", F.round(call("ST_Length", "g"), 6).alias("length"), F.round(call("ST_X", quarter), 6).alias("qx"), F.round(call("ST_Y", quarter), 6).alias("qy"), F.round(half, 6).alias("half"))
@@ -462,7 +462,7 @@ def geo_geofence(spark, d):
     k = F.col("id")
     x0 = (k * 60 - 180).cast("double")
     zones = spark.range(6).select(k.alias("zone"), call("ST_MakeEnvelope", x0, F.lit(-50.0), x0 + 45, F.lit(50.0)).alias("geom"), native.box(x0, F.lit(-50.0), x0 + 45, F.lit(50.0)).alias("bbox"))
-    pings = points(_t(spark, d, "events"), "event_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    pings = points(_spread(_t(spark, d, "events").select("event_id", "ts")), "event_id").withColumn("ts", F.col("ts").cast("timestamp"))
     hits = geofence.geofence(pings, geofence.zone_cells(zones, 15.0), 15.0)
     return geofence.windowed_counts(hits).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 

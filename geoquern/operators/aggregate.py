@@ -34,7 +34,7 @@ def dissolve(df: DataFrame, key: str, geom: str = "geom", batch: int = 256, salt
     own = df.where(F.col(geom).isNotNull()).select(F.col(key).alias("k"), F.col(geom).alias("g"))
 
     def merged(values):
-        return codec.encode(union_all([codec.decode(v) for v in values]))
+        return codec.encode(union_all([codec.decode(v) for v in dict.fromkeys(values)]))  # equal members count once
 
     def partial(batches):
         held: dict = {}
