@@ -31,13 +31,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated runs of 20; a document of which nothing is left goes."""
-    names = [n + "_" * sum(c.startswith(n) for c in docs.columns) for n in ("__cut_id", "__cut_words", "__cut_text")]
-    cut = substring_dedup.dedup_substrings(docs).where("n_removed > 0").select("doc_id", "n_removed", "kept_text").toDF(*names)
-    own, gone, kept = (F.col(n) for n in names)
-    joined = docs.join(cut.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(own), "left")
-    joined = joined.where(gone.isNull() | (F.length(F.regexp_replace(kept, r"\s+", "")) > 0))
-    text = F.when(gone.isNotNull(), kept).otherwise(F.col("text"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(gone.isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = substring_dedup.cut_repeats(docs)
+    gone, kept = F.col("n_removed") > 0, F.col("kept_text")
+    cut = cut.where(~gone | (F.length(F.regexp_replace(kept, r"\s+", "")) > 0))
+    new = {"text": kept, "n_chars": F.length(kept).cast("long")}
+    return cut.select(*(F.when(gone, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,9 +20,9 @@ entry per pack.  Fingerprint collisions in step 1 only add candidates.
 
 Edge cases: a null or empty text has no words and loses none; a null id counts as
 smaller than all others and is returned as null; identical rows (same id and text)
-are one document and do not remove each other; rows with one id and other texts
-are versions of one document and lose the words at the places found in any of
-them; an empty table gives an empty result; other columns are ignored.
+are one document and do not remove each other; rows with one id (or none) and other
+texts are documents of their own, in the order of a hash of the text; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._text import NOT_SPACE, chunks, spark_partitions, span_hashes, window_hashes, windows, word_spans
+from ._text import NOT_SPACE, chunks, ensure_checkpoint_dir, spark_partitions, span_hashes, window_hashes, windows, word_spans
 
 _NULL_ID = -(1 << 63)
 _U = np.uint64
@@ -44,6 +45,8 @@ _U = np.uint64
 PACK_BYTES = 24 << 20
 #: Bits of a step-1 fingerprint; fewer mean more candidates, never other results.
 ANCHOR_BITS = 44
+#: Places for ids that several texts share; ids that meet in one only send wider keys, never other results.
+SLOTS = 1 << 16
 
 
 # -- packing ---------------------------------------------------------------
@@ -96,7 +99,7 @@ def _index_and_probe(width: int, buckets: int):
     def flush(found, anchors):
         h, n = np.unique(np.concatenate(found), return_counts=True)
         twice = h[n > 1]
-        ah, aid, ablock = (np.concatenate(x) for x in zip(*anchors, strict=True))
+        ah, aid, aver, ablock = (np.concatenate(x) for x in zip(*anchors, strict=True))
         edge = lambda x: (x * _U(buckets)) >> _U(ANCHOR_BITS)
         hb, tb = edge(h), edge(twice)
         blocks = dict(_by_bucket(edge(ah)))
@@ -104,15 +107,15 @@ def _index_and_probe(width: int, buckets: int):
         for b, at in _by_bucket(hb):
             lo, hi = np.searchsorted(tb, [_U(b), _U(b + 1)])
             a = blocks.get(b, np.zeros(0, int))
-            rows.append((b, pack_sorted(h[at]), pack_sorted(twice[lo:hi]), pack_columns(ah[a], aid[a], ablock[a])))
+            rows.append((b, pack_sorted(h[at]), pack_sorted(twice[lo:hi]), pack_columns(ah[a], aid[a], aver[a], ablock[a])))
         names = ["bucket", "probes", "twice", "blocks"]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*rows, strict=True))], names=names)
 
     def run(batches):
         found, anchors, size = [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, _, data, offsets in chunks(None, batch.column(1)):
+            ids, vers = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_id", "_ver"))
+            for at, _, data, offsets in chunks(None, batch.column("_text")):
                 s, e, first = word_spans(data, offsets, NOT_SPACE)
                 w = windows(first, width)
                 if len(w):
@@ -121,7 +124,7 @@ def _index_and_probe(width: int, buckets: int):
                     pos = w - first[doc]
                     own = pos % width == 0
                     found.append(h)
-                    anchors.append((h[own], ids[at + doc[own]].astype(np.int64), (pos[own] // width).astype(np.int32)))
+                    anchors.append((h[own], ids[at + doc[own]], vers[at + doc[own]], (pos[own] // width).astype(np.int32)))
                 size += len(data)
                 if size >= PACK_BYTES and found:
                     yield flush(found, anchors)
@@ -135,38 +138,37 @@ def _index_and_probe(width: int, buckets: int):
 def _live_blocks(table: pa.Table) -> pa.Table:
     seen, n = np.unique(np.concatenate([unpack_sorted(x) for x in table["probes"].to_pylist()]), return_counts=True)
     live = np.union1d(seen[n > 1], np.concatenate([unpack_sorted(x) for x in table["twice"].to_pylist()]))
-    ids, blocks = [], []
+    parts = []
     for x in table["blocks"].to_pylist():
-        h, i, b = unpack_columns(x, "<u8", "<i8", "<i4")
+        h, *place = unpack_columns(x, "<u8", "<i8", "<i8", "<i4")
         hit = np.isin(h, live)
-        ids.append(i[hit])
-        blocks.append(b[hit])
-    return pa.table({"_id": np.concatenate(ids), "_block": np.concatenate(blocks)})
+        parts.append([c[hit] for c in place])
+    return pa.table({n: np.concatenate(c) for n, c in zip(["_id", "_ver", "_block"], zip(*parts, strict=True), strict=True)})
 
 
 # -- step 2 ----------------------------------------------------------------
-def _keep_first(h1, h2, ids, starts):
+def _keep_first(h1, h2, ids, vers, starts):
     """The order by window and place, the first of each window, and whether an entry stands later than that."""
-    order = np.lexsort((starts, ids, h2, h1))
-    h1, h2, ids, starts = h1[order], h2[order], ids[order], starts[order]
+    order = np.lexsort((starts, vers, ids, h2, h1))
+    h1, h2, ids, vers, starts = (x[order] for x in (h1, h2, ids, vers, starts))
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = (ids != ids[lead]) | (starts != starts[lead])
-    return (h1, h2, ids, starts), new, later
+    later = (ids != ids[lead]) | (vers != vers[lead]) | (starts != starts[lead])
+    return (h1, h2, ids, vers, starts), new, later
 
 
-def _runs(ids, starts):
-    """Neighbouring starts of a document as (id, start, length)."""
+def _runs(ids, vers, starts):
+    """Neighbouring starts of a document as (id, version, start, length)."""
     if not len(ids):
-        return ids, starts, starts
-    order = np.lexsort((starts, ids))
-    ids, starts = ids[order], starts[order].astype(np.int64)
+        return ids, vers, starts, starts
+    order = np.lexsort((starts, vers, ids))
+    ids, vers, starts = ids[order], vers[order], starts[order].astype(np.int64)
     new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1)
+    new[1:] = (ids[1:] != ids[:-1]) | (vers[1:] != vers[:-1]) | (starts[1:] > starts[:-1] + 1)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(ids)) - 1
-    return ids[at], starts[at], starts[last] - starts[at] + 1
+    return ids[at], vers[at], starts[at], starts[last] - starts[at] + 1
 
 
 def _candidates(width: int, min_words: int, buckets: int):
@@ -174,27 +176,27 @@ def _candidates(width: int, min_words: int, buckets: int):
 
     def flush(parts):
         cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        key, (h1, h2, ids, starts) = cols[0], cols[1:]
-        order = np.lexsort((starts, ids, h2, h1))
-        (h1, h2, ids, starts), new, later = _keep_first(h1, h2, ids, starts)
+        key, (h1, h2, ids, vers, starts) = cols[0], cols[1:]
+        order = np.lexsort((starts, vers, ids, h2, h1))
+        (h1, h2, ids, vers, starts), new, later = _keep_first(h1, h2, ids, vers, starts)
         key = key[order]
-        rid, rstart, rlen = _runs(ids[later], starts[later])
-        rest = dict(_by_bucket(span_spread(rid) % _U(buckets)))
+        rid, rver, rstart, rlen = _runs(ids[later], vers[later], starts[later])
+        rest = dict(_by_bucket(span_spread(rid + rver) % _U(buckets)))
         rows = []
         kept = np.flatnonzero(new)
         firsts = {b: kept[at] for b, at in _by_bucket(key[kept] % _U(buckets))}
         for b in sorted(set(firsts) | set(rest)):
             f, r = firsts.get(b, kept[:0]), rest.get(b, kept[:0])
-            rows.append((b, pack_columns(h1[f], h2[f], ids[f], starts[f]), pack_columns(rid[r], rstart[r].astype(np.int32), rlen[r].astype(np.int32))))
+            rows.append((b, pack_columns(h1[f], h2[f], ids[f], vers[f], starts[f]), pack_columns(rid[r], rver[r], rstart[r].astype(np.int32), rlen[r].astype(np.int32))))
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*rows, strict=True))], names=names)
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
         parts, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = pa.array([unzip.decompress(x.as_py()) if len(x.as_py()) else b"" for x in batch.column(1)], pa.binary()).cast(pa.string())
-            blocks = batch.column(2)
+            ids, vers = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_id", "_ver"))
+            texts = pa.array([unzip.decompress(x.as_py()) if len(x.as_py()) else b"" for x in batch.column("_z")], pa.binary()).cast(pa.string())
+            blocks = batch.column("_blocks")
             for at, to, data, offsets in chunks(None, texts):
                 s, e, first = word_spans(data, offsets, NOT_SPACE)
                 counts = np.diff(first)
@@ -222,8 +224,8 @@ def _candidates(width: int, min_words: int, buckets: int):
                 low = grams[w]
                 for j in range(1, min_words - width + 1):
                     low = np.minimum(low, grams[w + j])
-                parts.append((low, window_hashes(h, w, min_words), (window_hashes(h, w, min_words, 2) >> _U(32)).astype(np.uint32), ids[at + doc], pos.astype(np.int32)))
-                size += len(w) * 32
+                parts.append((low, window_hashes(h, w, min_words), (window_hashes(h, w, min_words, 2) >> _U(32)).astype(np.uint32), ids[at + doc], vers[at + doc], pos.astype(np.int32)))
+                size += len(w) * 40
                 if size >= PACK_BYTES * 2:
                     yield flush(parts)
                     parts, size = [], 0
@@ -240,14 +242,15 @@ def span_spread(ids: np.ndarray) -> np.ndarray:
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    cols = [unpack_columns(x, "<u8", "<u4", "<i8", "<i4") for x in table["firsts"].to_pylist()]
-    (_, _, ids, starts), _, later = _keep_first(*(np.concatenate(x) for x in zip(*cols, strict=True)))
-    rid, rstart, rlen = _runs(ids[later], starts[later])
-    more = [unpack_columns(x, "<i8", "<i4", "<i4") for x in table["repeats"].to_pylist()]
+    cols = [unpack_columns(x, "<u8", "<u4", "<i8", "<i8", "<i4") for x in table["firsts"].to_pylist()]
+    (_, _, ids, vers, starts), _, later = _keep_first(*(np.concatenate(x) for x in zip(*cols, strict=True)))
+    rid, rver, rstart, rlen = _runs(ids[later], vers[later], starts[later])
+    more = [unpack_columns(x, "<i8", "<i8", "<i4", "<i4") for x in table["repeats"].to_pylist()]
     return pa.table({
         "_id": np.concatenate([rid.astype(np.int64), *(m[0] for m in more)]),
-        "_start": np.concatenate([rstart, *(m[1] for m in more)]).astype(np.int32),
-        "_len": np.concatenate([rlen, *(m[2] for m in more)]).astype(np.int32),
+        "_ver": np.concatenate([rver.astype(np.int64), *(m[1] for m in more)]),
+        "_start": np.concatenate([rstart, *(m[2] for m in more)]).astype(np.int32),
+        "_len": np.concatenate([rlen, *(m[3] for m in more)]).astype(np.int32),
     })
 
 
@@ -255,8 +258,9 @@ def _repeats(table: pa.Table) -> pa.Table:
 def _zip_texts(batches):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else z.compress(t) for t in texts], pa.binary())], names=["_id", "_z"])
+        texts = pa.array([None if t is None else z.compress(t) for t in batch.column("_text").cast(pa.binary()).to_pylist()], pa.binary())
+        own = [n for n in batch.schema.names if n != "_text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), texts], names=[*own, "_z"])
 
 
 def cut_words(text: bytes, starts: list[int], lengths: list[int], width: int) -> tuple[bytes, int]:
@@ -284,7 +288,7 @@ def _cut(min_words: int, with_text: bool):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             n_words, n_gone, sha, kept = [], [], [], []
-            for z, starts, lengths in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for z, starts, lengths in zip(*(batch.column(k).to_pylist() for k in ("_z", "_starts", "_lens")), strict=True):
                 text = b"" if z is None else unzip.decompress(z)
                 new, gone = cut_words(text, starts, lengths, min_words) if starts else (text, 0)
                 words = new.split()
@@ -293,8 +297,9 @@ def _cut(min_words: int, with_text: bool):
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 if with_text:
                     kept.append(None if z is None else new.decode())
-            cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(sha, pa.string())]
-            names = ["_id", "n_words", "n_removed", "kept_sha256"]
+            own = [n for n in batch.schema.names if n in ("_id", "_rest")]
+            cols = [*(batch.column(n) for n in own), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(sha, pa.string())]
+            names = [*own, "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 cols, names = [*cols, pa.array(kept, pa.string())], [*names, "kept_text"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -302,29 +307,56 @@ def _cut(min_words: int, with_text: bool):
     return run
 
 
-def repeat_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(texts by internal id, compressed; runs of window starts that are repeats)."""
+def _versions(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """_id, _ver, _text and, if there are ``rest`` columns, these as _rest.
+
+    Rows with equal (_id, _ver) have one text: _ver is a hash of it in a slot with an id that
+    several texts share, and 0 (which packs to nothing) elsewhere."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_id"), F.col(text_col).cast("string").alias("_text"), *([F.struct(*rest).alias("_rest")] if rest else []))
+    slot, text_hash = F.pmod(F.xxhash64("_id"), F.lit(SLOTS)), F.xxhash64("_text")
+    shared = own.groupBy("_id").agg(F.min(text_hash).alias("lo"), F.max(text_hash).alias("hi")).where("lo <> hi")
+    # at most SLOTS small rows are broadcast
+    shared = shared.select(slot.alias("_slot")).distinct().checkpoint()
+    ver = F.when(F.col("_slot").isNotNull(), text_hash).otherwise(F.lit(0).cast("long"))
+    return own.join(F.broadcast(shared), slot == F.col("_slot"), "left").select("_id", ver.alias("_ver"), "_text", *(["_rest"] if rest else []))
+
+
+def repeat_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str, rest: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(texts by internal key, compressed; runs of window starts that are repeats)."""
     if min_words < 2:
         raise ValueError("min_words must be 2 or more")
     width = (min_words + 1) // 2
     buckets = min(1 << 20, max(64, 4 * spark_partitions(docs.sparkSession)))
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    packs = own.mapInArrow(_index_and_probe(width, buckets), "bucket int, probes binary, twice binary, blocks binary")
-    live = packs.groupBy("bucket").applyInArrow(_live_blocks, "_id long, _block int")
-    live = live.groupBy("_id").agg(F.collect_set("_block").alias("_blocks"))
-    texts = own.mapInArrow(_zip_texts, "_id long, _z binary")
-    near = texts.where(F.col("_z").isNotNull()).join(live.hint("shuffle_hash"), "_id").select("_id", "_z", "_blocks")
+    own = _versions(docs, id_col, text_col, rest or [])
+    bare = own.select("_id", "_ver", "_text")
+    packs = bare.mapInArrow(_index_and_probe(width, buckets), "bucket int, probes binary, twice binary, blocks binary")
+    live = packs.groupBy("bucket").applyInArrow(_live_blocks, "_id long, _ver long, _block int")
+    live = live.groupBy("_id", "_ver").agg(F.collect_set("_block").alias("_blocks"))
+    zipped = lambda df: df.mapInArrow(_zip_texts, T.StructType([*(f for f in df.schema if f.name != "_text"), T.StructField("_z", T.BinaryType())]))
+    near = zipped(bare).where(F.col("_z").isNotNull()).join(live.hint("shuffle_hash"), ["_id", "_ver"]).select("_id", "_ver", "_z", "_blocks")
     found = near.mapInArrow(_candidates(width, min_words, buckets), "bucket int, firsts binary, repeats binary")
-    return texts, found.groupBy("bucket").applyInArrow(_repeats, "_id long, _start int, _len int")
+    return zipped(own), found.groupBy("bucket").applyInArrow(_repeats, "_id long, _ver long, _start int, _len int")
+
+
+def _cut_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str, with_text: bool, rest: list[str] | None = None) -> DataFrame:
+    texts, runs = repeat_runs(docs, min_words, id_col, text_col, rest)
+    runs = runs.groupBy("_id", "_ver").agg(F.collect_list(F.struct("_start", "_len")).alias("_runs"))
+    own = ["_id", "_rest"] if rest else ["_id"]
+    joined = texts.join(runs.hint("shuffle_hash"), ["_id", "_ver"], "left").select(
+        *own, "_z", F.coalesce("_runs._start", F.array().cast("array<int>")).alias("_starts"), F.coalesce("_runs._len", F.array().cast("array<int>")).alias("_lens")
+    )
+    kinds = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * with_text
+    return joined.mapInArrow(_cut(min_words, with_text), T.StructType([*joined.select(*own).schema, *(T.StructField(*k) for k in kinds)]))
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256 (of the kept words joined by
     one space) and, if ``with_text``, kept_text: the text without the words of repeats, its layout kept."""
-    texts, runs = repeat_runs(docs, min_words, id_col, text_col)
-    runs = runs.groupBy("_id").agg(F.collect_list(F.struct("_start", "_len")).alias("_runs"))
-    joined = texts.join(runs.hint("shuffle_hash"), "_id", "left").select(
-        "_id", "_z", F.coalesce("_runs._start", F.array().cast("array<int>")).alias("_starts"), F.coalesce("_runs._len", F.array().cast("array<int>")).alias("_lens")
-    )
-    out = joined.mapInArrow(_cut(min_words, with_text), "_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    out = _cut_rows(docs, min_words, id_col, text_col, with_text)
     return out.select(F.when(F.col("_id") != _NULL_ID, F.col("_id")).alias(id_col), *out.columns[1:])
+
+
+def cut_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (a struct of the columns of ``docs``), n_removed, kept_text of every row of ``docs``."""
+    return _cut_rows(docs, min_words, id_col, text_col, True, docs.columns).select(F.col("_rest").alias("row"), "n_removed", "kept_text")

@@ -117,6 +117,34 @@ def test_substring_dedup_edges(spark, edge, empty):
     assert (text, gone) == (b"a d  e", 2)
 
 
+def shared_id_rows():
+    word = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    passage = word("p", 22)
+    rows = [(1, passage + " " + word("a", 9)), (5, word("b", 4) + " " + passage), (5, word("c", 40)), (5, word("b", 4) + " " + passage + " end"), (8, word("same", 25)), (8, word("same", 25))]
+    return rows + [(None, word("d", 30)), (None, word("e", 30)), (None, passage + " " + word("f", 5)), (None, passage), (None, None), (None, "")]
+
+
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    import corpus_pipeline
+
+    rows = shared_id_rows()
+    df = spark.createDataFrame([(i, t, len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long, k int").repartition(3)
+    order = {r.k: ((r.doc_id is not None, r.doc_id or 0), r.h) for r in df.select("k", "doc_id", F.xxhash64("text").alias("h")).collect()}
+    keys = {key: n for n, key in enumerate(sorted(set(order.values())))}
+    want = brute_dedup(sorted((keys[order[k]], (t or "").encode().split()) for k, (_, t) in enumerate(rows)), 20)
+    want = [want[keys[order[k]]] for k in range(len(rows))]
+    got = Counter(tuple(r[:4]) for r in substring_dedup.dedup_substrings(df).collect())
+    assert got == Counter((rows[k][0], *want[k]) for k in range(len(rows)))
+    assert [want[k][1] for k in (2, 4, 5, 6, 7)] == [0] * 5 and sum(w[1] for w in want) >= 80
+    out = corpus_pipeline.substring_stage(spark, df, "")
+    assert out.columns == df.columns
+    kept = {r.k: r for r in out.collect()}
+    assert out.count() == len(kept) and set(kept) == {k for k, (n, gone, _) in enumerate(want) if not gone or gone < n}
+    for k, r in kept.items():
+        assert r.doc_id == rows[k][0] and hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest() == want[k][2]
+        assert r.n_chars == len(r.text or "") and (want[k][1] or r.text == rows[k][1])
+
+
 # -- decontamination -------------------------------------------------------
 def brute_best(item, text):
     row = list(range(len(text) + 1))
