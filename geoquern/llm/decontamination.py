@@ -31,7 +31,7 @@ RATE = 0.08
 BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _BITS = 20  # of the first look
-SCHEMA = "_id long, item_id long, start int, end int, edits int"
+SCHEMA = "_id long, _h long, item_id long, start int, end int, edits int"
 
 
 def normal(data: np.ndarray) -> np.ndarray:
@@ -204,12 +204,12 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
         yield items
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per match: id, item_id, start and end (characters of the text), edits."""
+def _matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per match: _id, _h (a hash of the text), item_id, start, end, edits."""
     if not 0 <= rate < 1 / Q:
         raise ValueError(f"rate must be in [0, {1 / Q})")
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").isNotNull())
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").isNotNull())
     out = None
     for items in item_blocks(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(Index(items, rate))
@@ -218,26 +218,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE
             index = shared.value
             for batch in batches:
                 rows = []
-                for at, _, data, offsets in chunks(None, batch.column(1)):
+                for at, _, data, offsets in chunks(None, batch.column("_text")):
                     for d, i, a, b, edits in scan(index, data, offsets):
                         raw = data[offsets[d] : offsets[d] + b].tobytes()
                         upto = lambda n: len(raw[:n].decode("utf-8", "ignore"))  # noqa: E731, B023
-                        rows.append((batch.column(0)[at + d].as_py(), index.ids[i], upto(a), upto(b), edits))
+                        rows.append((batch.column("_id")[at + d].as_py(), batch.column("_h")[at + d].as_py(), index.ids[i], upto(a), upto(b), edits))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_id", "item_id", "start", "end", "edits"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_id", "_h", "item_id", "start", "end", "edits"])
 
         part = own.mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], SCHEMA)
-    return out.withColumnRenamed("_id", id_col)
+    return out
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per match: id, item_id, start and end (characters of the text), edits."""
+    return _matches(docs, benchmark, rate, id_col, text_col, item_col, item_text_col).drop("_h").withColumnRenamed("_id", id_col)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id has no match (a null id is matched as well)."""
-    own = "__bad_id"  # a name that no column of docs has
-    while own in docs.columns:
-        own += "_"
-    bad = find_contamination(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias(own)).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` whose own text has no match, whatever other rows share their id."""
+    own, text_hash = "__bad_id", "__bad_hash"  # names that no column of docs has
+    while {own, text_hash} & set(docs.columns):
+        own, text_hash = own + "_", text_hash + "_"
+    bad = _matches(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("_id").alias(own), F.col("_h").alias(text_hash)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(text_hash))
+    return docs.join(bad.hint("shuffle_hash"), same, "left_anti")

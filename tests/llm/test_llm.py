@@ -191,6 +191,14 @@ def test_decontamination_edges(spark, edge, empty):
     assert decontamination.decontaminate(edge, bench).count() == len(EDGES) - 4
 
 
+def test_decontamination_judges_rows_that_share_an_id(spark):
+    leak = "the quick brown fox jumps over the lazy dog near the old river bank at dawn"
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(None, "a " + leak), (None, "clean one"), (None, "clean two"), (None, None), (5, leak + " b"), (5, "a clean version"), (6, "clean")]
+    kept = [(r.doc_id, r.text) for r in decontamination.decontaminate(table(spark, rows), bench).collect()]
+    assert Counter(kept) == Counter(r for r in rows if leak not in (r[1] or ""))
+
+
 # -- quality ---------------------------------------------------------------
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
