@@ -17,8 +17,9 @@ member and a star of links, never pairs.  Classes are the connected components (
 star, small star), numbered by their smallest id.
 
 Edge cases: texts without words (null, empty, signs only) are linked to nothing; a null
-id counts as smaller than all others and is returned as null; repeated rows are copies; ties do
-not occur, as every link is judged exactly; an empty table gives an empty result; other
+id counts as smaller than all others and is returned as null; repeated rows are copies; rows that
+share an id (or have none) but not the text are judged each, though the classes of two of them may
+have the same smallest id; ties do not occur, as every link is judged exactly; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -98,7 +99,7 @@ def _sketch(width: int):
     def run(batches):
         for batch in batches:
             k1, k2, n, sig = [], [], [], []
-            for _, _, data, offsets in chunks(None, batch.column(1)):
+            for _, _, data, offsets in chunks(None, batch.column(2)):
                 h, first = shingles(data, offsets, width)
                 a, b = set_keys(h, first)
                 k1.append(a)
@@ -106,7 +107,7 @@ def _sketch(width: int):
                 n.append(np.diff(first))
                 sig += [x.tobytes() for x in signatures(h, first)]
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), cat(k1), cat(k2), cat(n), pa.array(sig, pa.binary())], names=["_id", "_k1", "_k2", "_n", "_sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cat(k1), cat(k2), cat(n), pa.array(sig, pa.binary())], names=["_id", "_h", "_k1", "_k2", "_n", "_sig"])
 
     return run
 
@@ -228,7 +229,7 @@ def _likely(threshold: float, positions: int):
             key = mix(rep[root].astype(np.int64).view(np.uint64) + mix(np.array([path + place * _U(0x9E3779B97F4A7C15)]))[0])
         k = int(hit.sum())
         return pa.table({
-            "_id": rep[hit], "vkey": key.view(np.int64)[hit], "pos": np.full(k, pos, np.int32), "cross": np.full(k, cross),
+            "rep": rep[hit], "_id": table["low"].to_numpy()[order][hit], "_h": table["low_h"].to_numpy()[order][hit], "vkey": key.view(np.int64)[hit], "pos": np.full(k, pos, np.int32), "cross": np.full(k, cross),
             "own": own[hit].astype(np.int32), "mask": mask[hit].astype(np.int64), "_k1": table["_k1"].to_numpy()[order][hit], "copies": table["copies"].to_numpy()[order][hit],
         })
 
@@ -271,8 +272,8 @@ def _verify(width: int, threshold: float, positions: int):
             sizes.append(np.diff(first))
         h, n = np.concatenate(hs), np.concatenate(sizes)
         first = np.concatenate([[0], np.cumsum(n)])
-        rep, k1, copies, mask, own = (table[c].to_numpy() for c in ("_id", "_k1", "copies", "mask", "own"))
-        # rows that share an id but not the text of the node, and repeated rows, go
+        rep, k1, copies, mask, own = (table[c].to_numpy() for c in ("rep", "_k1", "copies", "mask", "own"))
+        # repeated rows go
         right = set_keys(h, first)[0] == k1
         keep = np.flatnonzero(right)
         keep = keep[np.sort(np.unique(rep[keep], return_index=True)[1])]
@@ -302,7 +303,7 @@ def _verify(width: int, threshold: float, positions: int):
 def _zip(batches):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["_id", "_z"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress(t) for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["_id", "_h", "_z"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -360,46 +361,51 @@ def _buckets(nodes: DataFrame, positions: int) -> tuple[DataFrame, DataFrame]:
     return members, mask
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id (smallest id of the class), n_links (other rows with a Jaccard similarity of at least the threshold)."""
+def _classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, _h (a hash of the text), _n, head (the _id and _h that stand for the class; null without words), n_links of every row."""
     if not 0 < threshold <= 1 or width < 1:
         raise ValueError("threshold must be in (0, 1], width at least 1")
     ensure_checkpoint_dir(docs.sparkSession)
     positions = BRANCHES * runs_for(threshold, target_recall)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    sketch = own.mapInArrow(_sketch(width), "_id long, _k1 long, _k2 long, _n long, _sig binary").checkpoint()
-    nodes = sketch.where("_n > 0").groupBy("_k1", "_k2", "_n").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("_sig").alias("_sig"))
-    nodes = nodes.checkpoint()
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"), F.col(text_col).cast("string").alias("_text"))
+    sketch = own.mapInArrow(_sketch(width), "_id long, _h long, _k1 long, _k2 long, _n long, _sig binary").checkpoint()
+    nodes = sketch.where("_n > 0").groupBy("_k1", "_k2", "_n").agg(F.min(F.struct("_id", "_h")).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("_sig").alias("_sig"))
+    # a node is named by a number of its own, as rows of several nodes may share an id; the checkpoint holds it fast
+    nodes = nodes.select("_k1", "_k2", "_n", F.monotonically_increasing_id().alias("rep"), F.col("head._id").alias("low"), F.col("head._h").alias("low_h"), "copies", "_sig").checkpoint()
     members, mask = _buckets(nodes, positions)
-    full = members.join(nodes.select("rep", "_sig", "_n", "_k1", "copies"), "rep").join(mask, "rep", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    likely = full.groupBy("path", "lo", "hi").applyInArrow(_likely(threshold, positions), "_id long, vkey long, pos int, cross boolean, own int, mask long, _k1 long, copies long")
-    texts = own.where(F.col("_text").isNotNull()).mapInArrow(_zip, "_id long, _z binary")
-    groups = texts.join(likely.hint("shuffle_hash"), "_id")
+    full = members.join(nodes.select("rep", "low", "low_h", "_sig", "_n", "_k1", "copies"), "rep").join(mask, "rep", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    likely = full.groupBy("path", "lo", "hi").applyInArrow(_likely(threshold, positions), "rep long, _id long, _h long, vkey long, pos int, cross boolean, own int, mask long, _k1 long, copies long")
+    texts = own.where(F.col("_text").isNotNull()).mapInArrow(_zip, "_id long, _h long, _z binary")
+    groups = texts.join(likely.hint("shuffle_hash"), ["_id", "_h"])
     kind = "rep long, root long, links long, peers array<struct<rep:long,copies:long>>"
     found = groups.groupBy("vkey").applyInArrow(_verify(width, threshold, positions), kind).checkpoint()
     peers = F.array_distinct(F.flatten(F.collect_list("peers")))
     links = found.groupBy("rep").agg((F.sum("links") + F.aggregate(peers, F.lit(0).cast("long"), lambda s, x: s + x["copies"])).alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = nodes.select("_k1", "_k2", "_n", "rep", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("a"), "left")
-    named = named.select("_k1", "_k2", "_n", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketch.select("_id", "_k1", "_k2", "_n").join(named, ["_k1", "_k2", "_n"], "left")
-    class_id = F.coalesce("class_id", "_id")
-    return out.select(
-        F.when(F.col("_id") != NULL_ID, F.col("_id")).alias(id_col),
-        F.when(class_id != NULL_ID, class_id).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    roots = roots.union(roots.select(F.col("root").alias("a"), "root").distinct())
+    heads = roots.join(nodes.select("rep", "low", "low_h"), F.col("a") == F.col("rep")).groupBy("root").agg(F.min(F.struct("low", "low_h")).alias("first"))
+    roots = roots.join(heads, "root").select("a", "first")
+    named = nodes.select("_k1", "_k2", "_n", "rep", "low", "low_h", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("a"), "left")
+    head = F.struct(F.coalesce("first.low", "low").alias("_id"), F.when(F.col("first").isNotNull(), F.col("first.low_h")).otherwise(F.col("low_h")).alias("_h"))
+    named = named.select("_k1", "_k2", "_n", head.alias("head"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = sketch.select("_id", "_h", "_k1", "_k2", "_n").join(named, ["_k1", "_k2", "_n"], "left")
+    return out.select("_id", "_h", "_n", "head", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id (smallest id of the class), n_links (other rows with a Jaccard similarity of at least the threshold)."""
+    out = _classes(docs, width, threshold, target_recall, id_col, text_col)
+    class_id = F.coalesce("head._id", "_id")
+    return out.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias(id_col), F.when(class_id != NULL_ID, class_id).alias("class_id"), "n_links")
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stand for their class (the smallest id), one row for each id."""
-    own = "__head_id"  # a name that no column of docs has
-    while own in docs.columns:
-        own += "_"
-    classes = jaccard_classes(docs, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias(own), "class_id").checkpoint()
-    heads = classes.where(F.col(own).eqNullSafe(F.col("class_id"))).select(own).distinct()
-    again = classes.groupBy(own).count().where("count > 1").select(own)
-    same = F.col(id_col).eqNullSafe(F.col(own))
-    kept = docs.join(heads.hint("shuffle_hash"), same, "left_semi")
-    single = kept.join(again.hint("shuffle_hash"), same, "left_anti")
-    return single.unionByName(kept.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, text_col]))
+    """The rows of ``docs`` that stand for their class (the smallest id), one of repeated rows; all rows without words."""
+    own, text_hash = "__head_id", "__head_hash"  # names that no column of docs has
+    while {own, text_hash} & set(docs.columns):
+        own, text_hash = own + "_", text_hash + "_"
+    heads = _classes(docs, id_col=id_col, text_col=text_col, **how).where((F.col("_n") == 0) | (F.struct("_id", "_h") == F.col("head")))
+    heads = heads.groupBy(F.col("_id").alias(own), F.col("_h").alias(text_hash)).agg(((F.max("_n") > 0) & (F.count(F.lit(1)) > 1)).alias("again")).checkpoint()
+    keyed = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), text_hash: F.xxhash64(F.col(text_col).cast("string"))})
+    kept = lambda again: keyed.join(heads.where(F.col("again") == again).hint("shuffle_hash"), [own, text_hash], "left_semi").select(*docs.columns)
+    return kept(False).unionByName(kept(True).dropDuplicates([id_col, text_col]))

@@ -365,6 +365,20 @@ def test_one_row_per_class(spark, edge, empty):
     assert ngram_join.runs_for(0.8, 0.9999) >= 2
 
 
+def test_classes_of_rows_that_share_an_id(spark):
+    copies = [t for _, t in near_copies(6, seed=9)]
+    other = " ".join(f"o{k}" for k in range(50))
+    rows = [(2, copies[0]), (5, copies[1]), (5, other), (None, copies[2]), (None, "alone without an id at all here"), (None, other + " end")]
+    rows += [(None, "another one with no id and no copies"), (7, "third text under seven with some words"), (7, "third text under seven with some words"), (7, "other text under seven, not a copy"), (8, None), (None, None), (None, "")]
+    df = table(spark, rows)
+    low = lambda i: -1 if i is None else i
+    want = brute_classes([(low(i), t) for i, t in rows])
+    got = sorted((low(r.doc_id), low(r.class_id), r.n_links) for r in ngram_join.jaccard_classes(df).collect())
+    assert got == sorted(want) and want[1][2] == 2
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one_per_class(df).collect())
+    assert kept == Counter([*rows[3:8], *rows[9:]])
+
+
 # -- toxicity --------------------------------------------------------------
 def test_forward_backward_matches_enumeration():
     import itertools
