@@ -104,21 +104,24 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, group: str, reverse: s
     return graphs.join(wanted, group).select(group, F.inline(f("_e", "_r")))
 
 
-def bounded_costs(edges: DataFrame, start: int, limit: float, rounds: int = 64) -> DataFrame:
+def bounded_costs(edges: DataFrame, start: int, limit: float, rounds: int | None = None) -> DataFrame:
     """node, agg_cost of the nodes within ``limit`` of ``start``: rounds of relaxation as joins,
-    for graphs too large for one task.  Every round is written to the checkpoint folder."""
+    for graphs too large for one task, until no cost falls (with ``rounds``: an error if more are
+    needed).  Every round is written to the checkpoint folder."""
     spark = edges.sparkSession
     arcs = edges.where(F.col("cost") >= 0).groupBy(F.col("source").cast("long").alias("u"), F.col("target").cast("long").alias("v")).agg(F.min("cost").alias("w"))
     best = spark.range(1).select(F.lit(int(start)).cast("long").alias("node"), F.lit(0.0).alias("agg_cost"))
     front = best
-    for _ in range(rounds):
+    done = 0
+    while not front.isEmpty():
+        if done == rounds:
+            raise ValueError(f"costs still fall after {rounds} rounds")
+        done += 1
         new = front.join(arcs, front["node"] == arcs["u"]).select(F.col("v").alias("node"), (F.col("agg_cost") + F.col("w")).alias("agg_cost")).where(F.col("agg_cost") <= limit)
         new = new.groupBy("node").agg(F.min("agg_cost").alias("new_cost"))
         merged = best.join(new, "node", "full").select("node", F.col("agg_cost").alias("old"), F.least(F.coalesce("agg_cost", "new_cost"), F.coalesce("new_cost", "agg_cost")).alias("agg_cost")).checkpoint()
         front = merged.where(F.col("old").isNull() | (F.col("agg_cost") < F.col("old"))).select("node", "agg_cost")
         best = merged.select("node", "agg_cost")
-        if front.isEmpty():
-            break
     return best
 
 

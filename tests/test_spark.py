@@ -186,3 +186,13 @@ def test_overlay_and_buffers_match_jts(spark):
         assert f("ST_Area", f("ST_ConvexHull", ga)) == pytest.approx(ja.convexHull().getArea())
         for r in (0.5, 2.0, -0.4):
             assert f("ST_Area", f("ST_Buffer", ga, r)) == pytest.approx(ja.buffer(r, 8).getArea(), rel=0.01, abs=0.02)
+
+
+def test_bounded_costs_on_long_paths(spark, tmp_path):
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    chain = [(k, k + 1, 1.0) for k in range(70)] + [(0, 70, 70.5), (0, 71, 90.0)]
+    edges = spark.createDataFrame(chain, "source long, target long, cost double")
+    assert sorted(map(tuple, agg.bounded_costs(edges, 0, 80.0).collect())) == [(k, float(k)) for k in range(71)]
+    with pytest.raises(ValueError):
+        agg.bounded_costs(edges, 0, 80.0, rounds=3)
