@@ -24,7 +24,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 #: Documents are processed in runs of about this many bytes, to bound memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,13 +133,15 @@ def spark_partitions(spark) -> int:
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Reads spark.checkpoint.dir of the session; sets a folder only where none is set (tests)."""
+    """Takes the checkpoint folder from spark.checkpoint.dir of the session, unless the session has one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder:
-        import tempfile
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        import tempfile  # one process does all the work, as in tests
 
         folder = tempfile.mkdtemp(prefix="geoquern-checkpoint-")
     sc.setCheckpointDir(folder)

@@ -6,20 +6,33 @@ recursively on sampled shared tokens (min-wise hashes of the sets): a node follo
 ``BRANCHES`` sampled positions per level, and those with the same token at a position
 share a bucket.  Small buckets are compared by brute force.  A large bucket is split again
 on further positions, unless a child would keep half of it (near copies, which no split
-tells apart) or the depth is reached: then it is compared whole, in blocks.  Runs are
-repeated until a pair at the threshold meets with probability ``target_recall``.
+tells apart) or the depth is reached: then it is whole.  Runs are repeated until a pair at
+the threshold meets with probability ``target_recall``.
 
-A bucket first drops pairs whose min-wise estimate is far below the threshold (over six
+A small bucket first drops pairs whose min-wise estimate is far below the threshold (over six
 standard deviations), then the sets of the rest are compared exactly.  A pair that
-agrees at an earlier whole bucket is left to that one, so links count once; buckets from
-deeper levels return neighbour lists, which are united.  Groups send one row per
-member and a star of links, never pairs.  Classes are the connected components (large
-star, small star), numbered by their smallest id.
+agrees at an earlier small bucket of the first level is left to that one, so links count once;
+buckets from deeper levels return neighbour lists, which are united.
+
+Whole buckets that share nodes form one dense group, and a node is judged in its group once,
+whatever the number of its buckets.  A group has a centre T (shingles that most of a
+few members hold; any set gives right results).  A member with x shingles of T missing and y
+others added costs c = x + threshold * y, and two members a, b are linked exactly if
+
+    (1 + threshold) * (common differences from T) >= c(a) + c(b) - (1 - threshold) * |T|.
+
+So pairs with c(a) + c(b) <= (1 - threshold) * |T| are linked: they are counted from a histogram of
+the costs and joined by a star, in one row per member.  For the other pairs the
+differences (not the texts) of at most ``BLOCK`` members at a time are compared exactly.
+
+Groups send one row per member and a star of links, never pairs.  Classes are the connected
+components (large star, small star), numbered by their smallest id.
 
 Edge cases: texts without words (null, empty, signs only) are linked to nothing; a null
 id counts as smaller than all others and is returned as null; repeated rows are copies; rows that
 share an id (or have none) but not the text are judged each, though the classes of two of them may
-have the same smallest id; ties do not occur, as every link is judged exactly; an empty table gives an empty result; other
+have the same smallest id; ties do not occur, as every link is judged exactly; very long texts are
+taken whole, a text of its own run at a time; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -29,6 +42,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +50,14 @@ from pyspark.sql import functions as F
 from ._text import ALNUM, chunks, ensure_checkpoint_dir, lower_ascii, mix, span_hashes, windows, window_hashes, word_spans
 
 NULL_ID = -(1 << 63)
+LONE = -(1 << 63)  # the dense group of nodes that are in none
 TOKENS = 48  # min-wise hashes of a set
 BRANCHES = 3
-LIMIT = 512  # members of a small bucket, and of a block
+LIMIT = 512  # members of a small bucket
+BLOCK = 4096  # members of a dense group that are compared at a time
+TEXTS = 512  # members of a dense group whose texts meet its centre in one task
+SAMPLE = 96  # members, about, that give a dense group its centre
+BINS = 256  # of costs, up to those that no pair can have for certain
 MAX_DEPTH = 4
 _U = np.uint64
 _MULTIPLIERS = [int(mix(np.array([i + 1], np.uint64))[0]) | 1 for i in range(TOKENS)]
@@ -153,16 +172,8 @@ def _children(batches):
         )
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Members of whole large buckets, once for every pair of blocks that theirs belongs to."""
-    g = F.ceil(F.col("n") / LIMIT).cast("int")
-    own = F.pmod(F.xxhash64("rep"), g).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), g - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi"), own.alias("own")))
-    return rows.select("path", "pos", "rep", F.explode(pairs).alias("b")).select("path", "pos", "rep", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"), F.col("b.own").alias("own"))
-
-
 def _agree_before(sig: np.ndarray, mask: np.ndarray, pos: int, rows: np.ndarray, positions: int) -> np.ndarray:
-    """Pairs (rows x all) that meet at an earlier whole bucket."""
+    """Pairs (rows x all) that meet at an earlier small bucket."""
     out = np.zeros((len(rows), len(sig)), bool)
     for p in range(positions if pos < 0 else pos):
         whole = (mask >> p) & 1 == 1
@@ -170,13 +181,6 @@ def _agree_before(sig: np.ndarray, mask: np.ndarray, pos: int, rows: np.ndarray,
     return out
 
 
-def _pairs(own: np.ndarray, cross: bool, rows: np.ndarray) -> np.ndarray:
-    """Pairs (rows x all) that this block pair judges, each once."""
-    if cross:
-        return own[rows][:, None] < own[None, :]
-    return rows[:, None] < np.arange(len(own))[None, :]
-
-
 def _roots_of(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index of every component of a small graph."""
     root = np.arange(k)
@@ -199,38 +203,29 @@ def _likely(threshold: float, positions: int):
 
     def run(table: pa.Table) -> pa.Table:
         sig = _tokens(table["_sig"])
-        rep, n, mask, own = (table[c].to_numpy() for c in ("rep", "_n", "mask", "own"))
+        rep, n, mask, dense = (table[c].to_numpy() for c in ("rep", "_n", "mask", "dense"))
         order = np.argsort(rep, kind="stable")
-        sig, rep, n, mask, own = sig[order], rep[order], n[order], mask[order], own[order]
-        pos, cross = table["pos"][0].as_py(), table["lo"][0].as_py() != table["hi"][0].as_py()
-        left, right = [], []
-        step = max(1, (1 << 22) // max(1, len(rep)))
-        for lo in range(0, len(rep), step):
-            rows = np.arange(lo, min(lo + step, len(rep)))
-            ok = _pairs(own, cross, rows)
-            ok &= np.minimum(n[rows][:, None], n[None, :]) >= threshold * np.maximum(n[rows][:, None], n[None, :])
-            if pos:
-                ok &= ~_agree_before(sig, mask, pos, rows, positions)
-            a, b = np.nonzero(ok)
-            a = rows[a]
-            for at in range(0, len(a), 1 << 18):
-                x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
-                near = (sig[x] == sig[y]).sum(1) >= least
-                left.append(x[near])
-                right.append(y[near])
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
+        sig, rep, n, mask, dense = sig[order], rep[order], n[order], mask[order], dense[order]
+        pos = table["pos"][0].as_py()
+        rows = np.arange(len(rep))
+        ok = (rows[:, None] < rows[None, :]) & ((dense[:, None] != dense[None, :]) | (dense[:, None] == LONE))
+        ok &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+        if pos:
+            ok &= ~_agree_before(sig, mask, pos, rows, positions)
+        a, b = np.nonzero(ok)
+        near = [(sig[a[at : at + (1 << 18)]] == sig[b[at : at + (1 << 18)]]).sum(1) >= least for at in range(0, len(a), 1 << 18)]
+        near = np.concatenate(near) if near else np.zeros(0, bool)
+        a, b = a[near], b[near]
         root = _roots_of(len(rep), a, b)
         hit = np.zeros(len(rep), bool)
         hit[a], hit[b] = True, True
         path = _U(table["path"][0].as_py() & (1 << 64) - 1)
-        place = _U(table["lo"][0].as_py() * 1_000_003 + table["hi"][0].as_py())
         with np.errstate(over="ignore"):
-            key = mix(rep[root].astype(np.int64).view(np.uint64) + mix(np.array([path + place * _U(0x9E3779B97F4A7C15)]))[0])
+            key = mix(rep[root].astype(np.int64).view(np.uint64) + mix(np.array([path]))[0])
         k = int(hit.sum())
         return pa.table({
-            "rep": rep[hit], "_id": table["low"].to_numpy()[order][hit], "_h": table["low_h"].to_numpy()[order][hit], "vkey": key.view(np.int64)[hit], "pos": np.full(k, pos, np.int32), "cross": np.full(k, cross),
-            "own": own[hit].astype(np.int32), "mask": mask[hit].astype(np.int64), "_k1": table["_k1"].to_numpy()[order][hit], "copies": table["copies"].to_numpy()[order][hit],
+            "rep": rep[hit], "_id": table["low"].to_numpy()[order][hit], "_h": table["low_h"].to_numpy()[order][hit], "vkey": key.view(np.int64)[hit], "pos": np.full(k, pos, np.int32),
+            "mask": mask[hit].astype(np.int64), "dense": dense[hit].astype(np.int64), "_k1": table["_k1"].to_numpy()[order][hit], "copies": table["copies"].to_numpy()[order][hit],
         })
 
     return run
@@ -258,33 +253,35 @@ def overlaps(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _zipped_sets(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of compressed texts, and offsets by text."""
+    unzip = zstandard.ZstdDecompressor()
+    texts = pa.array([unzip.decompress(z) for z in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
+    parts = [shingles(data, offsets, width) for _, _, data, offsets in chunks(None, texts)]
+    sizes = [np.diff(first) for _, first in parts]
+    cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return cat([h for h, _ in parts], np.uint64), np.concatenate([[0], np.cumsum(cat(sizes, np.int64))]).astype(np.int64)
+
+
 def _verify(width: int, threshold: float, positions: int):
     """Step 2 in a candidate group: exact Jaccard; per member its links and the smallest member it is joined with."""
 
     def run(table: pa.Table) -> pa.Table:
-        unzip = zstandard.ZstdDecompressor()
-        texts = [unzip.decompress(z) for z in table["_z"].to_pylist()]
-        column = pa.array(texts, pa.binary()).cast(pa.string())
-        hs, sizes = [], []
-        for _, _, data, offsets in chunks(None, column):
-            h, first = shingles(data, offsets, width)
-            hs.append(h)
-            sizes.append(np.diff(first))
-        h, n = np.concatenate(hs), np.concatenate(sizes)
-        first = np.concatenate([[0], np.cumsum(n)])
-        rep, k1, copies, mask, own = (table[c].to_numpy() for c in ("rep", "_k1", "copies", "mask", "own"))
+        h, first = _zipped_sets(table["_z"], width)
+        n = np.diff(first)
+        rep, k1, copies, mask, dense = (table[c].to_numpy() for c in ("rep", "_k1", "copies", "mask", "dense"))
         # repeated rows go
         right = set_keys(h, first)[0] == k1
         keep = np.flatnonzero(right)
         keep = keep[np.sort(np.unique(rep[keep], return_index=True)[1])]
         keep = keep[np.argsort(rep[keep], kind="stable")]
         h = np.concatenate([h[first[i] : first[i + 1]] for i in keep]) if len(keep) else h[:0]
-        n, rep, copies, mask, own = n[keep], rep[keep], copies[keep], mask[keep], own[keep]
+        n, rep, copies, mask, dense = n[keep], rep[keep], copies[keep], mask[keep], dense[keep]
         first = np.concatenate([[0], np.cumsum(n)])
-        pos, cross = table["pos"][0].as_py(), table["cross"][0].as_py()
+        pos = table["pos"][0].as_py()
         inter = overlaps(h, first)
         rows = np.arange(len(rep))
-        ok = _pairs(own, cross, rows) & (inter >= threshold * (n[:, None] + n[None, :] - inter) - 1e-9)
+        ok = (rows[:, None] < rows[None, :]) & ((dense[:, None] != dense[None, :]) | (dense[:, None] == LONE)) & (inter >= threshold * (n[:, None] + n[None, :] - inter) - 1e-9)
         if pos and len(rep):
             ok &= ~_agree_before(signatures(h, first), mask, pos, rows, positions)
         a, b = np.nonzero(ok)
@@ -325,40 +322,189 @@ def components(edges: DataFrame) -> DataFrame:
         sign = now
 
 
-def _buckets(nodes: DataFrame, positions: int) -> tuple[DataFrame, DataFrame]:
-    """(members of buckets to compare, whole buckets by node as a bit mask of first-level positions)."""
+def _buckets(nodes: DataFrame, positions: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(members of small buckets, small buckets of the first level by node as a bit mask of positions, members of whole buckets)."""
     rows = nodes.select("rep", "_sig").mapInArrow(_roots(positions), "path long, pos int, rep long")
     count = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = rows.join(count, "path").checkpoint()
     small = live.where(F.col("n") <= LIMIT)
     large = live.where(F.col("n") > LIMIT)
-    done, whole, sigs = [small], [], nodes.select("rep", "_sig")
+    done, whole, sigs = [small], None, nodes.select("rep", "_sig")
     for depth in range(MAX_DEPTH):
         if large.isEmpty():
             break
+        dense = large
+        if depth < MAX_DEPTH - 1:
+            kids = large.select("path", "n", "rep").join(sigs, "rep").select("path", "n", "rep", "_sig").mapInArrow(_children, "path long, parent long, parent_n long, pos int, rep long")
+            per = kids.groupBy("path").agg(F.first("parent").alias("parent"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
+            biggest = per.groupBy("parent").agg(F.max("n").alias("top"))
+            keeps = large.select("path", "n").distinct().join(biggest, F.col("path") == F.col("parent"), "left").where(F.coalesce("top", F.lit(0)) >= 0.5 * F.col("n")).select("path").checkpoint()
+            dense = large.join(keeps, "path", "left_semi")
+        whole = dense.select("path", "rep") if whole is None else whole.unionByName(dense.select("path", "rep"))
         if depth == MAX_DEPTH - 1:
-            whole.append(large)
             break
-        kids = large.select("path", "n", "rep").join(sigs, "rep").select("path", "n", "rep", "_sig").mapInArrow(_children, "path long, parent long, parent_n long, pos int, rep long")
-        per = kids.groupBy("path").agg(F.first("parent").alias("parent"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
-        biggest = per.groupBy("parent").agg(F.max("n").alias("top"))
-        dense = large.select("path", "n").distinct().join(biggest, F.col("path") == F.col("parent"), "left").where(F.coalesce("top", F.lit(0)) >= 0.5 * F.col("n")).select("path").checkpoint()
-        whole.append(large.join(dense, "path", "left_semi"))
-        kids = kids.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "pos", "rep")
+        kids = kids.join(keeps.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "pos", "rep")
         kids = kids.join(per.select("path", "n"), "path").select("path", "pos", "rep", "n").checkpoint()
         done.append(kids.where(F.col("n") <= LIMIT))
         large = kids.where(F.col("n") > LIMIT)
-    zero = F.lit(0)
     members = None
     for part in done:
-        part = part.select("path", "pos", "rep", zero.alias("lo"), zero.alias("hi"), zero.alias("own"))
+        part = part.select("path", "pos", "rep")
         members = part if members is None else members.unionByName(part)
-    first_level = small.select("rep", "pos")
-    for part in whole:
-        members = members.unionByName(_blocks(part))
-        first_level = first_level.unionByName(part.where("pos >= 0").select("rep", "pos"))
-    mask = first_level.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, pos))").alias("mask"))
-    return members, mask
+    mask = small.groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, pos))").alias("mask"))
+    return members, mask, whole
+
+
+# -- dense groups ----------------------------------------------------------
+def _centre(width: int):
+    """The shingles that more than half of some members hold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, _ = _zipped_sets(table["_z"], width)
+        values, n = np.unique(h, return_counts=True)
+        return pa.table({"dense": table["dense"][:1], "centre": pa.array([values[2 * n > table.num_rows].tobytes()], pa.binary())})
+
+    return run
+
+
+def differences(h: np.ndarray, first: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every set: how many of the centre (sorted) it lacks and how many others it has; the differences and their offsets."""
+    diffs, lack, more = [], np.zeros(len(first) - 1, np.int64), np.zeros(len(first) - 1, np.int64)
+    for i in range(len(first) - 1):
+        own = h[first[i] : first[i + 1]]
+        d = np.setxor1d(own, centre, assume_unique=True)
+        diffs.append(d)
+        same = (len(own) + len(centre) - len(d)) // 2
+        lack[i], more[i] = len(centre) - same, len(own) - same
+    sizes = np.array([len(d) for d in diffs], np.int64)
+    return lack, more, np.concatenate(diffs) if diffs else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _differences(width: int, threshold: float):
+    """Some members of a dense group and its centre (the row without a node): missing, added, bin of the cost (rounded up) and the differences."""
+
+    def run(table: pa.Table) -> pa.Table:
+        is_node = pa.compute.is_valid(table["rep"])
+        centre = np.frombuffer(table["_z"].filter(pa.compute.invert(is_node))[0].as_py(), np.uint64)
+        table = table.filter(is_node)
+        names = ["dense", "rep", "copies", "size", "lack", "more", "bin", "diff"]
+        kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
+        parts = []
+        for at in range(0, table.num_rows, 64):
+            rows = table.slice(at, 64)
+            h, first = _zipped_sets(rows["_z"], width)
+            lack, more, d, ends = differences(h, first, centre)
+            room = (1 - threshold) * len(centre)
+            bins = np.ceil(BINS * (lack + threshold * more) / room - 1e-9) if room > 0 else np.full(len(lack), np.inf)
+            blobs = [d[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            parts.append(pa.table([rows["dense"], rows["rep"], rows["copies"], np.full(len(lack), len(centre)), lack, more, np.minimum(bins, BINS + 1).astype(np.int32), pa.array(blobs, pa.binary())], names=names))
+        return pa.concat_tables(parts) if parts else pa.schema(zip(names, kinds, strict=True)).empty_table()
+
+    return run
+
+
+def common(h: np.ndarray, first: np.ndarray, tile: int = 256):
+    """(rows, sizes of their intersections with all sets), exactly, some rows at a time.
+
+    Values that many sets hold go through matrix products, rare ones through their lists."""
+    k = len(first) - 1
+    doc = np.repeat(np.arange(k), np.diff(first))
+    value = np.unique(h, return_inverse=True)[1]
+    n = np.bincount(value) if len(value) else np.zeros(0, np.int64)
+    often = n > max(32, k // 64)
+    frequent = np.flatnonzero(often)
+    at = np.full(len(n), -1)
+    at[frequent] = np.arange(len(frequent))
+    order = np.argsort(value, kind="stable")  # entries by value: the lists
+    lists, list_start = doc[order], np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    in_wide = often[value] if len(value) else np.zeros(0, bool)
+    rare = ~in_wide & (n[value] > 1) if len(value) else in_wide
+    step = max(1, (1 << 22) // max(1, k))
+    for lo in range(0, k, tile):
+        hi = min(k, lo + tile)
+        out = np.zeros((hi - lo, k))
+        for c in range(0, len(frequent), step):
+            m = np.zeros((k, min(step, len(frequent) - c)), np.float32)
+            e = np.flatnonzero(in_wide & (at[value] >= c) & (at[value] < c + step))
+            m[doc[e], at[value[e]] - c] = 1
+            out += m[lo:hi] @ m.T
+        e = np.flatnonzero(rare[first[lo] : first[hi]]) + first[lo]
+        while len(e):
+            upto = max(1, int(np.searchsorted(np.cumsum(n[value[e]]), 1 << 20, "right")))
+            now, e = e[:upto], e[upto:]
+            c = n[value[now]]
+            ends = np.cumsum(c)
+            mates = lists[np.repeat(list_start[value[now]] - (ends - c), c) + np.arange(ends[-1])]
+            out += np.bincount(np.repeat(doc[now] - lo, c) * k + mates, minlength=out.size).reshape(out.shape)
+        yield np.arange(lo, hi), out
+
+
+def _compare(threshold: float):
+    """Two blocks of a dense group: exact links of the pairs that costs alone do not decide."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, copies, size, lack, more, bins, own = (table[c].to_numpy() for c in ("rep", "copies", "size", "lack", "more", "bin", "own"))
+        cross = table["lo"][0].as_py() != table["hi"][0].as_py()
+        raw = table["diff"].to_pylist()
+        h = np.frombuffer(b"".join(raw), np.uint64)
+        first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
+        n = size - lack + more
+        links, left, right = np.zeros(len(rep), np.int64), [], []
+        for rows, same in common(h, first):
+            inter = size[rows][:, None] - lack[rows][:, None] - lack[None, :] + same
+            ok = inter >= threshold * (n[rows][:, None] + n[None, :] - inter) - 1e-9
+            ok &= bins[rows][:, None] + bins[None, :] > BINS
+            ok &= own[rows][:, None] != own[None, :] if cross else rows[:, None] != np.arange(len(rep))[None, :]
+            links[rows] = ok @ copies
+            a, b = np.nonzero(ok)
+            left.append(np.arange(len(rep)))
+            right.append(_roots_of(len(rep), rows[a], b))
+        root = _roots_of(len(rep), np.concatenate(left), np.concatenate(right))
+        some = links > 0
+        kind = pa.list_(pa.struct([("rep", pa.int64()), ("copies", pa.int64())]))
+        return pa.table({"rep": rep[some], "root": rep[root][some], "links": links[some], "peers": pa.array([[]] * int(some.sum()), kind)})
+
+    return run
+
+
+def _dense_groups(whole: DataFrame) -> DataFrame:
+    """rep, dense: the group of every node of a whole bucket; buckets that share a node are of one group."""
+    home = whole.groupBy("rep").agg(F.min("path").alias("home"))
+    roots = components(whole.join(home, "rep").select(F.col("path").alias("a"), F.col("home").alias("b")))  # a graph of buckets, not of nodes
+    return home.join(roots, F.col("home") == F.col("a"), "left").select("rep", F.coalesce("root", "home").alias("dense")).checkpoint()
+
+
+def _dense_links(groups: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
+    """rep, root, links, peers (none) of the links within dense groups, each once; ``members``: dense, rep, copies, _z."""
+    count = groups.groupBy("dense").agg(F.count(F.lit(1)).alias("m")).checkpoint()
+    parts = lambda size: F.ceil(F.col("m") / size).cast("int")
+    part = lambda size, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), parts(size)).cast("int")
+    each = lambda size: F.explode(F.sequence(F.lit(0), parts(size) - 1)).alias("part")
+    sized = members.join(count, "dense")
+    drawn = sized.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("m") / SAMPLE))) == 0)
+    centres = drawn.select("dense", "_z").groupBy("dense").applyInArrow(_centre(width), "dense long, centre binary")
+    # a group of which no member was drawn has the empty centre
+    centres = count.join(centres, "dense", "left").select("dense", each(TEXTS), F.coalesce("centre", F.lit(b"")).alias("_z"))
+    none = F.lit(None).cast("long")
+    meet = sized.select("dense", part(TEXTS, 2).alias("part"), "rep", "copies", "_z").unionByName(centres.select("dense", "part", none.alias("rep"), none.alias("copies"), "_z"))
+    diffs = meet.groupBy("dense", "part").applyInArrow(_differences(width, threshold), "dense long, rep long, copies long, size long, lack long, more long, bin int, diff binary").checkpoint()
+    # pairs that costs alone decide
+    sure = diffs.where(F.col("bin") <= BINS).select("dense", "rep", "copies", "bin")
+    costs = sure.groupBy("dense", "bin").agg(F.sum("copies").alias("n"), F.min("rep").alias("rep"))
+    costs = costs.groupBy("dense").agg(F.min(F.struct("bin", "rep")).alias("hub"), F.collect_list(F.struct("bin", "n")).alias("costs"))  # at most BINS + 1 a group
+    side = costs.join(count, "dense").select("dense", "costs", "hub", each(BLOCK))
+    near = sure.join(count, "dense").withColumn("part", part(BLOCK, 3)).join(side, ["dense", "part"]).where(F.col("bin") + F.col("hub.bin") <= BINS)
+    partners = F.aggregate("costs", F.lit(0).cast("long"), lambda s, x: s + F.when(x["bin"] + F.col("bin") <= BINS, x["n"]).otherwise(F.lit(0)))
+    partners = partners - F.when(2 * F.col("bin") <= BINS, F.col("copies")).otherwise(F.lit(0))
+    star = near.select("rep", F.col("hub.rep").alias("root"), partners.alias("links"), F.array().cast("array<struct<rep:long,copies:long>>").alias("peers"))
+    # the others, in pairs of blocks; a member without differences has only pairs that its cost decides
+    own = part(BLOCK, 3)
+    pairs = F.transform(F.sequence(F.lit(0), parts(BLOCK) - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
+    blocks = diffs.where(F.length("diff") > 0).join(count, "dense").withColumn("own", own).withColumn("b", F.explode(pairs)).select("dense", "b.lo", "b.hi", "own", *(c for c in diffs.columns if c != "dense"))
+    return star.unionByName(blocks.groupBy("dense", "lo", "hi").applyInArrow(_compare(threshold), FOUND))
+
+
+FOUND = "rep long, root long, links long, peers array<struct<rep:long,copies:long>>"
 
 
 def _classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,13 +518,24 @@ def _classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, target_rec
     nodes = sketch.where("_n > 0").groupBy("_k1", "_k2", "_n").agg(F.min(F.struct("_id", "_h")).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("_sig").alias("_sig"))
     # a node is named by a number of its own, as rows of several nodes may share an id; the checkpoint holds it fast
     nodes = nodes.select("_k1", "_k2", "_n", F.monotonically_increasing_id().alias("rep"), F.col("head._id").alias("low"), F.col("head._h").alias("low_h"), "copies", "_sig").checkpoint()
-    members, mask = _buckets(nodes, positions)
-    full = members.join(nodes.select("rep", "low", "low_h", "_sig", "_n", "_k1", "copies"), "rep").join(mask, "rep", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    likely = full.groupBy("path", "lo", "hi").applyInArrow(_likely(threshold, positions), "rep long, _id long, _h long, vkey long, pos int, cross boolean, own int, mask long, _k1 long, copies long")
+    members, mask, whole = _buckets(nodes, positions)
     texts = own.where(F.col("_text").isNotNull()).mapInArrow(_zip, "_id long, _h long, _z binary")
-    groups = texts.join(likely.hint("shuffle_hash"), ["_id", "_h"])
-    kind = "rep long, root long, links long, peers array<struct<rep:long,copies:long>>"
-    found = groups.groupBy("vkey").applyInArrow(_verify(width, threshold, positions), kind).checkpoint()
+    lone = F.lit(LONE)
+    groups = None if whole is None else _dense_groups(whole)
+    marked = nodes.withColumn("dense", lone) if groups is None else nodes.join(groups, "rep", "left").withColumn("dense", F.coalesce("dense", lone))
+    full = members.join(marked.select("rep", "low", "low_h", "_sig", "_n", "_k1", "copies", "dense"), "rep").join(mask, "rep", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    likely = full.groupBy("path").applyInArrow(_likely(threshold, positions), "rep long, _id long, _h long, vkey long, pos int, mask long, dense long, _k1 long, copies long")
+    if groups is not None:  # all texts are dealt out once, for the small buckets and the dense groups
+        every = groups.join(nodes, "rep").select("rep", F.col("low").alias("_id"), F.col("low_h").alias("_h"), F.lit(None).cast("long").alias("vkey"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("mask"), "dense", "_k1", "copies")
+        likely = likely.unionByName(every)
+    candidates = texts.join(likely.hint("shuffle_hash"), ["_id", "_h"])
+    if groups is None:
+        found = candidates.groupBy("vkey").applyInArrow(_verify(width, threshold, positions), FOUND).checkpoint()
+    else:
+        candidates = candidates.checkpoint()
+        found = candidates.where(F.col("vkey").isNotNull()).groupBy("vkey").applyInArrow(_verify(width, threshold, positions), FOUND)
+        dense = candidates.where(F.col("vkey").isNull()).groupBy("dense", "rep", "copies").agg(F.first("_z").alias("_z"))  # repeated rows go
+        found = found.unionByName(_dense_links(groups, dense, width, threshold)).checkpoint()
     peers = F.array_distinct(F.flatten(F.collect_list("peers")))
     links = found.groupBy("rep").agg((F.sum("links") + F.aggregate(peers, F.lit(0).cast("long"), lambda s, x: s + x["copies"])).alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
