@@ -8,7 +8,9 @@ then lengths in a block), so no task holds all lengths.
 
 Edge cases: null and empty texts have length 0 and count as documents; repeated
 rows and ties count each; an empty table gives an empty histogram; other columns
-are ignored.
+are ignored.  Very long texts are encoded whole; runs of white space, on which the
+encoder's pattern recurses, are cut out of them at the places where the pattern
+cuts as well, and encoded as the single pieces that they are.
 """
 
 from __future__ import annotations
@@ -16,13 +18,19 @@ from __future__ import annotations
 import base64
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._text import ensure_checkpoint_dir
+
 #: The split before the merges of byte-level rank files (fixed value of the vocabulary's format).
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
+#: White space that the encoder's pattern takes in one step; longer runs are cut out before it.
+RUN = 256
+_LONG_RUN = regex.compile(r"\p{White_Space}{%d,}" % (RUN + 1))
 
 _ENCODINGS: dict = {}
 
@@ -38,13 +46,29 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
+def encoded_length(encoder, text: str) -> int:
+    """How many tokens the encoder makes of the text.
+
+    A run of white space before another sign is one piece without its last sign, which goes with what
+    follows; at the end of the text the whole run is one piece.  What stands before a run ends in
+    another sign, so the pattern cuts there too."""
+    total, at = 0, 0
+    if len(text) > RUN:
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            total += len(encoder.encode_ordinary(text[at : run.start()]))
+            total += len(encoder._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+            at = end
+    return total + len(encoder.encode_ordinary(text[at:] if at else text))
+
+
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and n_tokens of every row."""
 
     def run(batches):
-        encode = encoding(vocabulary).encode_ordinary
+        encoder = encoding(vocabulary)
         for batch in batches:
-            lengths = [len(encode(t)) if t else 0 for t in (x.as_py() for x in batch.column(1))]
+            lengths = [encoded_length(encoder, t) if t else 0 for t in (x.as_py() for x in batch.column(1))]  # a text at a time as Python's
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["_id", "n_tokens"])
 
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -58,7 +82,11 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For every length L that occurs: n_docs of it, docs and tokens of lengths >= L,
-    truncated_total (sum of min(length, L)), docs_before (documents shorter than L) and all_docs, all_tokens."""
+    truncated_total (sum of min(length, L)), docs_before (documents shorter than L) and all_docs, all_tokens.
+
+    The histogram is used twice and so written to the checkpoint folder first: texts are encoded once."""
+    ensure_checkpoint_dir(histogram.sparkSession)
+    histogram = histogram.checkpoint()
     block = F.floor(F.col("length") / BLOCK).cast("long")
     h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("_t"), block.alias("_b"))
     after = Window.orderBy(F.desc("_b"))  # one row for each BLOCK lengths
