@@ -140,7 +140,7 @@ SELECT s_suppkey, c_custkey, round(d, 6) AS distance, CAST(rank AS INTEGER) AS r
 def geo_knn(spark, d):
     s = points(_t(spark, d, "supplier"), "s_suppkey").select("s_suppkey", F.col("lon").alias("sx"), F.col("lat").alias("sy"))
     c = points(_t(spark, d, "customer"), "c_custkey").select("c_custkey", F.col("lon").alias("cx"), F.col("lat").alias("cy"))
-    out = frame.knn(s, c, 3, "s_suppkey", "c_custkey", ("sx", "sy"), ("cx", "cy"), 8.0)
+    out = frame.knn(s, c, 3, "s_suppkey", "c_custkey", ("sx", "sy"), ("cx", "cy"))
     return out.withColumn("distance", F.round("distance", 6))
 
 

@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from geoquern import catalogue
+from geoquern import catalogue, catalogue_scalars
 
+QUERIES = catalogue.queries() | catalogue_scalars.QUERIES
+SQL = catalogue.oracle_sql() | catalogue_scalars.SQL
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -20,14 +22,14 @@ def db(data):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, data, db):
-    df = catalogue.queries()[name](spark, data)
+    df = QUERIES[name](spark, data)
     rows = df.collect()
-    if name not in catalogue.oracle_sql():
+    if name not in SQL:
         assert rows
         return
-    r = db.execute(catalogue.oracle_sql()[name])
+    r = db.execute(SQL[name])
     names = [c[0] for c in r.description]
     assert sorted(df.columns) == sorted(names)
     want = sorted((tuple(clean(dict(zip(names, x, strict=True))[c]) for c in sorted(names)) for x in r.fetchall()), key=repr)

@@ -196,3 +196,64 @@ def test_bounded_costs_on_long_paths(spark, tmp_path):
     assert sorted(map(tuple, agg.bounded_costs(edges, 0, 80.0).collect())) == [(k, float(k)) for k in range(71)]
     with pytest.raises(ValueError):
         agg.bounded_costs(edges, 0, 80.0, rounds=3)
+
+
+def test_join_cells_follow_the_boxes(spark):
+    """10,000 small boxes and points within one degree: candidates stay near the hits, whatever the unit."""
+    import re
+
+    k = F.col("id")
+    x, y = (F.pmod(F.xxhash64(k), F.lit(1_000_003)) / 1_000_003.0), (F.pmod(F.xxhash64(k, F.lit(1)), F.lit(1_000_003)) / 1_000_003.0)
+    for unit in (1.0, 1e5):
+        boxes = spark.range(10_000).select(k.alias("a"), native.box(x * unit, y * unit, (x + 0.002) * unit, (y + 0.002) * unit).alias("bbox"))
+        points = spark.range(10_000, 20_000).select(k.alias("b"), native.box(x * unit, y * unit, x * unit, y * unit).alias("bbox_right"))
+        hits = frame.box_join(boxes, points, "bbox", "bbox_right")
+        text = hits._jdf.queryExecution().optimizedPlan().toString()
+        keyed = re.search(r"Join Inner.*", text)[0]
+        assert "_key" in keyed
+        n = hits.count()
+        ls = frame.join_levels({r[0]: r[1] for r in boxes.groupBy(frame._level(F.col("bbox")).alias("l")).count().collect()}, frame.LEVELS - 1)
+        size = frame.BASE / 2 ** max(ls)
+        cell = lambda c: F.floor(F.col(c) / size)  # noqa: E731, B023
+        grid = points.groupBy(cell("bbox_right.minx").alias("i"), cell("bbox_right.miny").alias("j")).count()
+        touched = boxes.select(F.explode(frame._cells(F.col("bbox"), F.lit(max(ls)))).alias("c")).select(F.col("c.i").alias("i"), F.col("c.j").alias("j"))
+        candidates = touched.join(grid, ["i", "j"]).agg(F.sum("count")).first()[0]
+        assert n > 100 and candidates <= 40 * n
+        pairs = {(r.a, r.b) for r in hits.select("a", "b").collect()}
+        own = [(r.a, r.bbox) for r in boxes.where("a < 200").collect()]
+        places = [(r.b, r.bbox_right) for r in points.collect()]
+        assert {p for p in pairs if p[0] < 200} == {(a, b) for a, s in own for b, t in places if s.minx <= t.minx <= s.maxx and s.miny <= t.miny <= s.maxy}
+
+
+def test_join_levels_are_few():
+    assert frame.join_levels({3: 5, 9: 1}, 47) == [3, 9]
+    levels = frame.join_levels({k: 10 for k in range(30)}, 20)
+    assert levels[0] == 0 and len(levels) <= frame.SIDE_LEVELS and max(levels) <= 20
+
+
+def test_box_join_of_all_sizes(spark):
+    k = F.col("id")
+    size = F.pow(F.lit(1.7), k % 23)
+    df = spark.range(400).select(k.alias("a"), (k * 37 % 101).cast("double").alias("x"), (k * 53 % 97).cast("double").alias("y"), size.alias("s"))
+    left = df.select("a", native.box(F.col("x"), F.col("y"), F.col("x") + F.col("s") / 1e3, F.col("y") + F.col("s") / 1e3).alias("bbox"))
+    right = df.select(F.col("a").alias("b"), native.box(F.col("y"), F.col("x"), F.col("y") + F.col("s") / 1e2, F.col("x") + F.col("s") / 1e4).alias("other"))
+    got = [(r.a, r.b) for r in frame.box_join(left, right, "bbox", "other").select("a", "b").collect()]
+    l, r = [(x.a, x.bbox) for x in left.collect()], [(x.b, x.other) for x in right.collect()]
+    want = {(i, j) for i, s in l for j, t in r if s.minx <= t.maxx and t.minx <= s.maxx and s.miny <= t.maxy and t.miny <= s.maxy}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("n,k", [(0, 3), (2, 3), (900, 1), (900, 7)])
+def test_knn_matches_brute_force(spark, n, k):
+    """Points in two crowds and a few far ones; queries in the crowds, between them and outside."""
+    i = F.col("id")
+    x = F.when(i % 3 == 0, (i * 7919 % 1009) / 1e5).when(i % 3 == 1, 50 + (i * 31 % 997) / 1e3).otherwise((i * 17 % 101).cast("double"))
+    points = spark.range(n).select(i.alias("p"), x.cast("double").alias("px"), ((i * 104729 % 1013) / 1e4 + i % 2).cast("double").alias("py"))
+    queries = spark.range(60).select(i.alias("q"), (i * 13 % 120 - 10).cast("double").alias("qx"), (i % 5 - 2).cast("double").alias("qy"))
+    got = sorted((r.q, r.rank, r.p) for r in frame.knn(queries, points, k, "q", "p", ("qx", "qy"), ("px", "py")).collect())
+    ps = [(r.p, r.px, r.py) for r in points.collect()]
+    want = []
+    for r in queries.collect():
+        near = sorted((((r.qx - a) ** 2 + (r.qy - b) ** 2) ** 0.5, p) for p, a, b in ps)[:k]
+        want += [(r.q, j + 1, p) for j, (_, p) in enumerate(near)]
+    assert got == sorted(want)
