@@ -1,35 +1,47 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Component x of a vector becomes floor(scale * x); scores are integer products, so
-results are exact and ties are certain.  Queries come in blocks of bounded size; each
-block meets all candidates once.  A task sorts its candidates by length and cuts
-them into buckets.  For a query q with its k-th best score so far s, a bucket whose
-longest vector has length l needs a cosine of at least s / (|q| l):
+results are exact and ties are certain.  Vectors are cut into levels by length: the first
+holds the longest ones (about ``LEVEL_ROWS``), every further one twice as many.  Levels are searched
+in falling length, and a query whose k-th best score so far is beyond |q| times a level's
+longest vector meets no more levels; levels grow with the logarithm of the table.
+
+Within a level, blocks of queries meet parts of the candidates, both of bounded size.  Such a
+task sorts its candidates by length and cuts them into buckets.  For a query q with its k-th
+best score so far s, a bucket whose longest vector has length l needs a cosine of at least s / (|q| l):
 
 * above 1, the bucket and all shorter ones hold no result and are skipped;
 * close to 1 (``COORDINATE_FROM``), candidates must lie close to q in every
   coordinate, so those outside the feasible interval of q's largest coordinates go;
 * otherwise only the vectors that are long enough alone (|p| >= s / |q|) stay.
 
-Survivors are verified by exact products.  Every task sends k rows per query, and the
-last choice is made among those.  Ties go to the smaller id.
+Survivors are verified by exact products.  Every task sends at most k rows per query, and the
+last choice is made among those.  Ties go to the smaller id.  Nothing of the tables goes through
+the driver or a broadcast, and plans do not depend on the number of queries.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no
 part; vectors of another dimension than the query are not candidates for it; a
 query is not its own candidate (by id); empty tables give an empty result; repeated
-rows count as candidates each and once as a query; other columns are ignored.
+rows count as candidates each and once as a query; other vectors under a query's id are
+queries of their own; other columns are ignored.  A vector whose integer length is 2**31 or
+more raises an error, as its scores might not fit a long.  Very long vectors make smaller blocks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048  # queries of a block: bounds what is broadcast
-TASK_ROWS = 1 << 16  # candidates a task holds at once
+from ._text import ensure_checkpoint_dir, spark_partitions
+
+LEVEL_ROWS = 1 << 18  # vectors of the first level
+TASK_VALUES = 1 << 22  # components of the candidates that a task holds
+QUERY_VALUES = 1 << 19  # components of the queries that a task holds
 BUCKET_ROWS = 256
 COORDINATE_FROM = 0.75
 FOCUS = 3
@@ -37,13 +49,15 @@ _EPS = 1e-9
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    bad = F.exists(F.col(vector_col).cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    """vec_id, v (integers), norm of the vectors that take part."""
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("_x"))
+    bad = F.exists("_x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    own = own.where(F.col("_x").isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(True)))
+    own = own.select("vec_id", F.transform("_x", lambda x: F.floor(F.least(F.greatest(x * F.lit(float(scale)), F.lit(-(2.0**31))), F.lit(2.0**31)))).alias("_w"))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    own = own.withColumn("norm", norm)
+    whole = F.when(F.col("norm") < 2.0**31, F.col("_w")).otherwise(F.raise_error(F.concat(F.lit("vector too long for exact scores: id "), F.col("vec_id").cast("string"))))
+    return own.select("vec_id", whole.cast("array<int>").alias("v"), "norm")
 
 
 def _merge(scores, ids, new_scores, new_ids, k):
@@ -52,8 +66,9 @@ def _merge(scores, ids, new_scores, new_ids, k):
     return s[order], i[order]
 
 
-def search_block(qid, q, cid, c, k, best):
-    """Best (scores, ids) of every query over the candidates of one task, starting from ``best``."""
+def search_block(qid, q, cid, c, k, floor):
+    """Best (scores, ids) of every query over the candidates of one task; scores below a query's ``floor`` may be missing."""
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qid)
     norm = np.sqrt((c.astype(np.float64) ** 2).sum(1))
     order = np.argsort(-norm, kind="stable")
     cid, c, norm = cid[order], c[order], norm[order]
@@ -66,7 +81,8 @@ def search_block(qid, q, cid, c, k, best):
         hi = min(lo + BUCKET_ROWS, len(c))
         longest = norm[lo]
         full = np.array([len(b[0]) >= k for b in best])
-        kth = np.array([float(b[0][-1]) if f else -np.inf for b, f in zip(best, full, strict=True)])
+        kth = np.maximum(np.array([float(b[0][-1]) if f else -np.inf for b, f in zip(best, full, strict=True)]), floor)
+        full |= kth > -np.inf
         reach = qn * longest
         need = np.where(full & (reach > 0), kth / np.maximum(reach, 1e-300), -np.inf)
         # a tie can still win by its id, so equality stays; a zero vector or query scores 0
@@ -100,64 +116,66 @@ def search_block(qid, q, cid, c, k, best):
     return best
 
 
-def _topk(block, k):
-    def run(batches):
-        dims: dict[int, list] = {}
-
-        def flush(dim):
-            ids, rows = (np.concatenate(x) for x in zip(*dims.pop(dim), strict=True))
-            qid, q, best = state[dim]
-            state[dim] = (qid, q, search_block(qid, q, ids, rows, k, best))
-
-        state = {dim: (qid, q, [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qid)) for dim, (qid, q) in block.value.items()}
-        for batch in batches:
-            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes):
-                dim = int(dim)
-                if dim not in state:
-                    continue
-                at = np.flatnonzero(sizes == dim)
-                rows = _matrix(batch.column(1).take(pa.array(at))).reshape(len(at), dim)
-                dims.setdefault(dim, []).append((ids[at], rows))
-                if sum(len(x[0]) for x in dims[dim]) >= TASK_ROWS:
-                    flush(dim)
-        for dim in list(dims):
-            flush(dim)
-        out = [(int(a), int(i), int(s)) for qid, _, best in state.values() for a, (ss, ii) in zip(qid, best, strict=True) for s, i in zip(ss, ii, strict=True)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+def _search(k: int):
+    """A block of queries (rows with ``asked``) against a part of the candidates, of one dimension."""
 
-    return run
+    def run(table: pa.Table) -> pa.Table:
+        asked = table["asked"].to_numpy()
+        ids, floors = table["vec_id"].to_numpy(), table["floor"].to_numpy(zero_copy_only=False)
+        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = flat.reshape(len(ids), -1)
+        q, c = np.flatnonzero(asked), np.flatnonzero(~asked)
+        best = search_block(ids[q], rows[q], ids[c], rows[c], k, np.nan_to_num(floors[q].astype(np.float64), nan=-np.inf, neginf=-np.inf)) if len(q) and len(c) else []
+        own = table["own"].fill_null(0).to_numpy()[q]
+        n = [len(s) for s, _ in best]
+        cat = lambda k: np.concatenate([b[k] for b in best]) if best else np.zeros(0, np.int64)
+        return pa.table({"query_id": np.repeat(ids[q][: len(best)], n), "own": np.repeat(own[: len(best)], n), "vec_id": cat(1), "score": cat(0)})
 
-
-def _query_blocks(queries: DataFrame):
-    """Blocks of at most QUERY_BLOCK queries: {dimension: (ids, matrix)}, streamed from the cluster."""
-    ids, rows = [], []
-
-    def made():
-        sizes = {len(r) for r in rows}
-        return {d: (np.array([i for i, r in zip(ids, rows, strict=True) if len(r) == d], np.int64), np.array([r for r in rows if len(r) == d], np.int64).reshape(-1, d)) for d in sizes}
-
-    for r in queries.toLocalIterator():
-        ids.append(r["vec_id"])
-        rows.append(r["v"])
-        if len(ids) == QUERY_BLOCK:
-            yield made()
-            ids, rows = [], []
-    if ids:
-        yield made()
+    return run
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query its k highest integer inner products."""
     spark = vectors.sparkSession
+    ensure_checkpoint_dir(spark)
     rows = integers(vectors, id_col, vector_col, scale)
-    found = None
-    for block in _query_blocks(integers(queries, id_col, vector_col, scale).distinct()):
-        part = rows.mapInArrow(_topk(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = integers(queries, id_col, vector_col, scale).withColumn("own", F.xxhash64("v")).dropDuplicates(["vec_id", "own"])
+    n, values = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    levels = max(1, math.ceil(math.log2(max(1, n) / LEVEL_ROWS)) + 1)
+    shares = [1 - 0.5**j for j in range(levels - 1, 0, -1)]
+    bounds = rows.agg(F.percentile_approx("norm", F.array(*(F.lit(x) for x in shares)), 10_000)).first()[0] if shares and n else []
+    bounds = sorted(set(bounds), reverse=True)  # a level holds the lengths from its bound on
+    per_row, best = max(1.0, values / max(1, n)), None
+    rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id"))
+    for level in range(len(bounds) + 1):
+        low, high = bounds[level] if level < len(bounds) else None, bounds[level - 1] if level else None
+        part = rows
+        if low is not None:
+            part = part.where(F.col("norm") >= low)
+        if high is not None:
+            part = part.where(F.col("norm") < high)
+        live = asked.withColumn("floor", F.lit(None).cast("long"))
+        if best is not None:
+            kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "own", F.col("score").alias("floor"))
+            live = asked.join(kth, ["vec_id", "own"], "left").where(F.col("floor").isNull() | (F.col("floor") <= 0) | (F.col("floor") <= F.col("norm") * high * (1 + _EPS)))
+        n_live = live.count()
+        if not n_live:
+            break
+        n_part = part.count() if bounds else n
+        least = min(spark_partitions(spark), math.ceil(n_part / (8 * BUCKET_ROWS)))  # enough tasks for a small level
+        parts, blocks = max(1, least, math.ceil(n_part * per_row / TASK_VALUES)), max(1, math.ceil(n_live * per_row / QUERY_VALUES))
+        place = lambda seed, m: F.pmod(F.xxhash64("vec_id", "norm", F.lit(seed)), F.lit(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        none = F.lit(None).cast("long")
+        c = part.select("vec_id", "v", none.alias("own"), none.alias("floor"), F.lit(False).alias("asked"), place(1, parts).alias("part"), every(blocks).alias("block"))
+        q = live.select("vec_id", "v", "own", "floor", F.lit(True).alias("asked"), every(parts).alias("part"), place(2, blocks).alias("block"))
+        met = c.unionByName(q).withColumn("dim", F.size("v")).where("dim > 0")
+        found = met.groupBy("part", "block", "dim").applyInArrow(_search(k), "query_id long, own long, vec_id long, score long")
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+        if level < len(bounds):
+            best = best.checkpoint()
+    if best is None:
+        best = spark.createDataFrame([], "query_id long, own long, vec_id long, score long, rank int")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
