@@ -1,4 +1,4 @@
-"""Exact substring deduplication with fixed-block anchors.
+"""Substring deduplication with fixed-block anchors.
 
 A repeat is a run of ``min_words`` words that also starts earlier.  Any window of
 ``min_words`` words holds a whole aligned block of ``(min_words + 1) // 2`` words,
@@ -16,18 +16,22 @@ rolling window of that width:
 3. *Cut.*  Words covered by a repeat are removed.
 
 No step lists pairs, and a passage that a third of all documents share makes one
-entry per pack.  Fingerprint collisions in step 1 only add candidates.
+entry per pack.  Fingerprint collisions in step 1 only add candidates; their bits and the
+number of buckets follow the bytes of the input, so neither the share of false candidates nor a
+bucket grows with it.  Step 2 takes windows as equal by 96 bits of hash and does not compare their
+words: at 10**13 windows the chance that any two others meet is below one in a thousand.
 
 Edge cases: a null or empty text has no words and loses none; a null id counts as
 smaller than all others and is returned as null; identical rows (same id and text)
 are one document and do not remove each other; rows with one id (or none) and other
 texts are documents of their own, in the order of a hash of the text; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored.  Very long texts are taken whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 
 import numpy as np
@@ -43,28 +47,33 @@ _NULL_ID = -(1 << 63)
 _U = np.uint64
 #: Text that one task gathers before it sends a pack.
 PACK_BYTES = 24 << 20
-#: Bits of a step-1 fingerprint; fewer mean more candidates, never other results.
+#: Least bits of a step-1 fingerprint; fewer mean more candidates, never other results.
 ANCHOR_BITS = 44
+#: Text whose windows meet in one bucket, and the most buckets (each pack sends a row to every one).
+BUCKET_BYTES = 32 << 20
+MOST_BUCKETS = 1 << 18
 #: Places for ids that several texts share; ids that meet in one only send wider keys, never other results.
 SLOTS = 1 << 16
 
 
 # -- packing ---------------------------------------------------------------
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit values as three-byte differences; larger ones stand apart."""
+    """Sorted unsigned 64-bit values as differences of a few bytes; larger ones stand apart."""
     d = np.diff(values, prepend=_U(0)).astype("<u8")
-    far = np.flatnonzero(d >> _U(24))
-    low = d.view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
-    return struct.pack("<ii", len(d), len(far)) + low + far.astype("<i4").tobytes() + d[far].tobytes()
+    mean = int(values[-1] - values[0]) // len(values) if len(values) else 0
+    wide = 3 if mean < 1 << 22 else 5
+    far = np.flatnonzero(d >> _U(8 * wide))
+    low = d.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+    return struct.pack("<iii", len(d), len(far), wide) + low + far.astype("<i4").tobytes() + d[far].tobytes()
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    n, k = struct.unpack_from("<ii", blob)
+    n, k, width = struct.unpack_from("<iii", blob)
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :3] = np.frombuffer(blob, np.uint8, 3 * n, 8).reshape(n, 3)
+    wide[:, :width] = np.frombuffer(blob, np.uint8, width * n, 12).reshape(n, width)
     d = wide.reshape(-1).view("<u8").copy()
-    at = np.frombuffer(blob, "<i4", k, 8 + 3 * n)
-    d[at] = np.frombuffer(blob, "<u8", k, 8 + 3 * n + 4 * k)
+    at = np.frombuffer(blob, "<i4", k, 12 + width * n)
+    d[at] = np.frombuffer(blob, "<u8", k, 12 + width * n + 4 * k)
     return np.cumsum(d, dtype=np.uint64)
 
 
@@ -95,12 +104,12 @@ def _by_bucket(bucket: np.ndarray):
 
 
 # -- step 1 ----------------------------------------------------------------
-def _index_and_probe(width: int, buckets: int):
+def _index_and_probe(width: int, buckets: int, bits: int):
     def flush(found, anchors):
         h, n = np.unique(np.concatenate(found), return_counts=True)
         twice = h[n > 1]
         ah, aid, aver, ablock = (np.concatenate(x) for x in zip(*anchors, strict=True))
-        edge = lambda x: (x * _U(buckets)) >> _U(ANCHOR_BITS)
+        edge = lambda x: ((x >> _U(bits - 32)) * _U(buckets)) >> _U(32)
         hb, tb = edge(h), edge(twice)
         blocks = dict(_by_bucket(edge(ah)))
         rows = []
@@ -119,7 +128,7 @@ def _index_and_probe(width: int, buckets: int):
                 s, e, first = word_spans(data, offsets, NOT_SPACE)
                 w = windows(first, width)
                 if len(w):
-                    h = window_hashes(span_hashes(data, s, e), w, width) >> _U(64 - ANCHOR_BITS)
+                    h = window_hashes(span_hashes(data, s, e), w, width) >> _U(64 - bits)
                     doc = np.searchsorted(first, w, "right") - 1
                     pos = w - first[doc]
                     own = pos % width == 0
@@ -327,10 +336,12 @@ def repeat_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str, res
     if min_words < 2:
         raise ValueError("min_words must be 2 or more")
     width = (min_words + 1) // 2
-    buckets = min(1 << 20, max(64, 4 * spark_partitions(docs.sparkSession)))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(64, 4 * spark_partitions(docs.sparkSession), math.ceil(size / BUCKET_BYTES)))
+    bits = max(ANCHOR_BITS, min(60, size.bit_length() + 5))  # a window in a few hundred meets another by chance at most
     own = _versions(docs, id_col, text_col, rest or [])
     bare = own.select("_id", "_ver", "_text")
-    packs = bare.mapInArrow(_index_and_probe(width, buckets), "bucket int, probes binary, twice binary, blocks binary")
+    packs = bare.mapInArrow(_index_and_probe(width, buckets, bits), "bucket int, probes binary, twice binary, blocks binary")
     live = packs.groupBy("bucket").applyInArrow(_live_blocks, "_id long, _ver long, _block int")
     live = live.groupBy("_id", "_ver").agg(F.collect_set("_block").alias("_blocks"))
     zipped = lambda df: df.mapInArrow(_zip_texts, T.StructType([*(f for f in df.schema if f.name != "_text"), T.StructField("_z", T.BinaryType())]))
