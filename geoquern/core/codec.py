@@ -229,7 +229,8 @@ def number(v: float) -> str:
         return "inf" if v > 0 else "-inf"
     if v == int(v) and abs(v) < 1e15:
         return ("-0" if v == 0 and math.copysign(1, v) < 0 else str(int(v)))
-    return np.format_float_positional(v, trim="-", unique=True)
+    text = repr(v)  # the shortest digits as well, in positional form but for very large or small values
+    return text.removesuffix(".0") if "e" not in text else np.format_float_positional(v, trim="-", unique=True)
 
 
 def fixed(v: float, digits: int) -> str:

@@ -13,9 +13,8 @@ from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType,
 from ..core import codec, route
 from ..core import model as M
 from ..core.model import Geom, GeometryError
-from . import FUNCTIONS, Function
+from . import FUNCTIONS, Function, batch
 from .areal import union_all
-from .batch import BATCH
 from .formats import encode_tile
 
 TYPES = {"binary": BinaryType(), "string": StringType(), "double": DoubleType(), "int": IntegerType(), "bigint": LongType(), "boolean": BooleanType()}
@@ -28,12 +27,7 @@ def _series(name: str, quiet: bool):
     """The function over Arrow columns; the function is looked up by name in the worker."""
     out = ARROW[FUNCTIONS[name].returns]
 
-    def run(*columns: pa.Array) -> pa.Array:
-        whole = BATCH.get(name)
-        if whole is not None and any(len(s) == len(columns) for s in FUNCTIONS[name].signatures):
-            out_column = whole(*columns)
-            if out_column is not None:
-                return out_column.cast(out)
+    def by_row(*columns: pa.Array) -> pa.Array:
         call = FUNCTIONS[name].call
         rows = zip(*(c.to_pylist() for c in columns), strict=True)
         if not quiet:
@@ -46,6 +40,10 @@ def _series(name: str, quiet: bool):
                 values.append(None)
         return pa.array(values, out)
 
+    def run(*columns: pa.Array) -> pa.Array:
+        whole = batch.run(name, columns, by_row) if any(len(s) == len(columns) for s in FUNCTIONS[name].signatures) else None
+        return by_row(*columns) if whole is None else whole.cast(out)
+
     run.__name__ = name
     return run
 

@@ -156,7 +156,34 @@ def test_transforms():
     assert x == pytest.approx(500000.0, abs=1e-8)
     assert crs.transformer(32633, 4326)(x, y) == pytest.approx((15.0, 52.0), abs=1e-12)
     with pytest.raises(GeometryError):
-        crs.transformer(4326, 27700)
+        crs.transformer(4326, 99999)
+
+
+#: Worked examples of the register's guidance notes, and definitions of origins.
+@pytest.mark.parametrize(
+    ("source", "target", "x", "y", "want", "off"),
+    [
+        (4258, 3035, 5, 50, (3962799.45, 2999718.85), 0.01), (4289, 28992, 6, 53, (196105.283, 557057.739), 0.001), (4149, 2056, 7.439583333333333, 46.95240555555556, (2600000, 1200000), 1e-6),
+        (4171, 2154, 3, 46.5, (700000, 6600000), 1e-6), (4269, 5070, -96, 23, (0, 0), 1e-6), (4326, 3031, 90, -90, (0, 0), 1e-6), (4277, 27700, -2, 49, (400000, -100000), 1e-6), (4326, 32661, 0, 90, (2000000, 2000000), 1e-6),
+        (4326, 3395, 180, 0, (20037508.342789244, 0), 1e-6), (4326, 4087, 180, 90, (20037508.342789244, 10018754.171394622), 1e-6), (4326, 27700, -0.1276474, 51.503459, (530050.55, 179942.1), 0.1),
+    ],
+)
+def test_transforms_of_national_systems(source, target, x, y, want, off):
+    assert crs.transformer(source, target)(x, y) == pytest.approx(want, abs=off)
+
+
+def test_every_system_goes_back():
+    import random
+
+    rng = random.Random(1)
+    for code in [*crs._table(), 32633, 32733, 25832, 26917, 28355, 2451, 6677, 31467, 31983, 23030]:
+        p = crs.system(code).p
+        lon0, lat0 = p.get("lon0", 0.0), p.get("lat0", p.get("lat1", 20.0))
+        for _ in range(20):
+            lon, lat = lon0 + rng.uniform(-3, 3), max(-89.9, min(89.9, lat0 + rng.uniform(-8, 8)))
+            if abs(lon) <= 180:
+                back = crs.transformer(code, 4326)(*crs.transformer(4326, code)(lon, lat))
+                assert back == pytest.approx((lon, lat), abs=2e-6 if crs.DATUMS[crs.system(code).datum][1] else 1e-9), code
 
 
 def test_spheroid_is_close_to_known_lengths():
