@@ -8,13 +8,18 @@ of k + 1 diagonals lies in one band.  Bands with enough hits are verified by a b
 alignment (an exact copy is found by search first).  The budget k is ``rate`` of an
 item's bytes, or less where the lemma would demand nothing.
 
-Items come in blocks of bounded size (``BLOCK_BYTES`` of text); each block's index is
-broadcast and meets all texts once, so any number of items works without a join.
+A q-gram that an item holds many times in a row counts once for each of its places in the
+text and each half band, and its half bands are one interval, so a run of dashes makes two marks a place
+and not one for each pair of places.  Texts are counted in stretches of bounded numbers of
+hits, which overlap by the longest item, and regions that stretches share are united.
+
+Items are indexed in blocks of bounded size (``BLOCK_BYTES`` of text, a few times more
+in memory), which are broadcast; all texts are read once for each such block.
 
 Letters A-Z count as a-z and any white-space byte as a space.  Edge cases: null or
 empty texts and items match nothing; an item shorter than q bytes matches as an
 exact copy between word ends; equal items match each; repeated rows are judged each;
-empty tables give an empty result; other columns are ignored.
+very long texts are judged whole; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,9 @@ from ._text import NOT_SPACE, chunks, lower_ascii, mix
 
 Q = 10
 RATE = 0.08
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
+RUN_HITS = 1 << 20  # hits that are counted at a time
+SEND_ROWS = 1 << 15  # matches of a record batch
 _U = np.uint64
 _BITS = 20  # of the first look
 SCHEMA = "_id long, _h long, item_id long, start int, end int, edits int"
@@ -64,69 +71,128 @@ class Index:
         self.k = np.array([budget(len(t), rate) for t in self.texts], np.int64)
         self.need = np.array([max(1, len(t) + 1 - Q * (k + 1)) for t, k in zip(self.texts, self.k, strict=True)], np.int64)
         self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < Q]
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.reach = int((self.size + self.k).max(initial=0)) + 2 * Q  # no region is longer
         grams = [qgrams(np.frombuffer(t, np.uint8)) for t in self.texts]
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32)
+        order = np.lexsort((place, item, h))
+        h, item, place = h[order], item[order], place[order]
+        # places of a q-gram in an item no further apart than a half band are one interval
+        apart = np.ones(len(h), bool)
+        apart[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > self.k[item[1:]] + 1)
+        at = np.flatnonzero(apart)
+        self.item, self.low = item[at], place[at]
+        self.high = place[np.append(at[1:], len(h)) - 1] if len(h) else place
+        self.keys, first, count = np.unique(h[at], return_index=True, return_counts=True)
+        self.first, self.count = first.astype(np.int32), count.astype(np.int32)
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self.keys >> _U(64 - _BITS)] = True
 
-    def hits(self, data: np.ndarray):
-        """(place in data, item, place in the item) of all shared q-grams."""
+    def found(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of q-grams that some item holds, and their numbers among the keys."""
         h = qgrams(data)
         at = np.flatnonzero(self.maybe[h >> _U(64 - _BITS)])
         if not len(self.keys) or not len(at):
             z = np.zeros(0, np.int64)
-            return z, z, z
+            return z, z
         own = h[at]
         key = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
         ok = self.keys[key] == own
-        at, key = at[ok], key[ok]
-        n = self.count[key]
-        ends = np.cumsum(n)
-        flat = np.repeat(self.first[key] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        return np.repeat(at, n), self.item[flat], self.place[flat]
+        return at[ok], key[ok]
+
+    def marks(self, doc: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Changes of the number of hits by pair (of a document and an item) and half band: +1 where an interval of half bands begins, -1 behind it."""
+        parts, ends, lo = [], np.cumsum(self.count[key], dtype=np.int64), 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + RUN_HITS, "right")))
+            n = self.count[key[lo:hi]].astype(np.int64)
+            upto = np.cumsum(n)
+            flat = np.repeat(self.first[key[lo:hi]] - (upto - n), n) + np.arange(upto[-1])
+            item, place = self.item[flat].astype(np.int64), np.repeat(at[lo:hi], n)
+            pair = np.repeat(doc[lo:hi], n) * len(self.ids) + item
+            half, shift = self.k[item] + 1, self.size[item]
+            begin, behind = (place - self.high[flat] + shift) // half, (place - self.low[flat] + shift) // half + 1
+            parts.append(_summed(np.concatenate([pair, pair]), np.concatenate([begin, behind]), np.repeat([1, -1], len(item))))
+            lo = hi
+        if not parts:
+            z = np.zeros(0, np.int64)
+            return z, z, z
+        return parts[0] if len(parts) == 1 else _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def regions_of(self, doc: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, first and last diagonal) of bands with enough hits, for hits of whole texts or of a stretch of one."""
+        pair, band, change = self.marks(doc, at, key)
+        if not len(pair):
+            return pair, band, change
+        count = np.cumsum(change)  # every pair's changes sum to nothing, so counts start anew
+        same = np.append(pair[1:] == pair[:-1], False)
+        behind = np.where(same, np.append(band[1:], 0), band + 1)  # half bands [band, behind) have the count
+        after = np.where(same, np.append(count[1:], 0), 0)
+        item = pair % len(self.ids)
+        need, half = self.need[item], self.k[item] + 1
+        inside = (2 * count >= need) & (behind - band > 1) | (count >= need)
+        across = count + after >= need
+        ok = (inside | across) & (count + after > 0)
+        low, high = np.where(inside, band, behind - 1)[ok], np.where(across, behind + 1, behind)[ok]
+        return pair[ok], low * half[ok] - self.size[item[ok]], high * half[ok] - self.size[item[ok]] - 1
+
+    def stretches(self, doc: np.ndarray, at: np.ndarray, key: np.ndarray):
+        """Slices of the hits: of many whole texts, or of one text, then overlapping by the longest region."""
+        hits = np.concatenate([[0], np.cumsum(self.count[key], dtype=np.int64)])
+        a = 0
+        while a < len(at):
+            b = int(np.searchsorted(hits, hits[a] + RUN_HITS, "right")) - 1
+            whole = int(np.searchsorted(doc, doc[min(b, len(at) - 1)])) if b < len(at) else len(at)  # before the text that does not fit
+            if whole > a:
+                yield slice(a, whole)
+                a = whole
+                continue
+            end = int(np.searchsorted(doc, doc[a], "right"))
+            while True:
+                b = min(end, max(b, int(np.searchsorted(at[a:end], at[a] + 2 * self.reach, "right")) + a))
+                yield slice(a, b)
+                if b == end:
+                    break
+                a = max(a + 1, int(np.searchsorted(at[a:end], at[b] - self.reach)) + a)
+                b = int(np.searchsorted(hits, hits[a] + RUN_HITS, "right")) - 1
+            a = end
 
     def regions(self, data: np.ndarray, offsets: np.ndarray):
-        """(document, item, first diagonal, last diagonal), in places of the document, of bands with enough hits."""
-        at, item, place = self.hits(data)
+        """(document, item, first diagonal, last diagonal), in places of the document; regions of an item do not touch."""
+        at, key = self.found(data)
         doc = np.searchsorted(offsets, at, "right") - 1
         inside = at + Q <= offsets[doc + 1]
-        at, item, place, doc = at[inside], item[inside], place[inside], doc[inside]
-        size = self.k[item] + 1
-        shift = np.array([len(t) for t in self.texts], np.int64)
-        band = (at - offsets[doc] - place + shift[item]) // size  # band b covers the halves b and b + 1
-        pair = doc * len(self.ids) + item
-        order = np.lexsort((band, pair))
-        pair, band = pair[order], band[order]
-        if not len(pair):
+        at, key, doc = at[inside], key[inside], doc[inside]
+        at = at - offsets[doc]
+        parts = [self.regions_of(doc[s], at[s], key[s]) for s in self.stretches(doc, at, key)]
+        if not parts:
             return
-        new = np.ones(len(pair), bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])
-        cut = np.flatnonzero(new)
-        n = np.diff(np.append(cut, len(pair)))
-        p, b = pair[cut], band[cut]
-        joined = np.zeros(len(p), bool)
-        joined[:-1] = (p[1:] == p[:-1]) & (b[1:] == b[:-1] + 1)
-        both = n + np.where(joined, np.append(n[1:], 0), 0)
-        enough = np.flatnonzero(both >= self.need[p % len(self.ids)])
+        pair, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((low, pair))
         last = None
-        for x in enough:  # bands that touch become one region
-            d, i = divmod(int(p[x]), len(self.ids))
-            s = int(self.k[i]) + 1
-            lo = int(b[x]) * s - len(self.texts[i])
-            hi = lo + (2 if joined[x] else 1) * s - 1
-            if last and last[:2] == [d, i] and lo <= last[3] + 1:
-                last[3] = max(last[3], hi)
+        for p, x, y in zip(pair[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):  # regions that touch become one
+            if last and last[0] == p and x <= last[2] + 1:
+                last[2] = max(last[2], y)
                 continue
             if last:
-                yield tuple(last)
-            last = [d, i, lo, hi]
+                yield *divmod(last[0], len(self.ids)), *last[1:]
+            last = [p, x, y]
         if last:
-            yield tuple(last)
+            yield *divmod(last[0], len(self.ids)), *last[1:]
+
+
+def _summed(pair: np.ndarray, band: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Changes summed by pair and band, in that order; those that cancel out go."""
+    order = np.lexsort((band, pair))
+    pair, band, change = pair[order], band[order], change[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])
+    cut = np.flatnonzero(new)
+    total = np.add.reduceat(change, cut) if len(cut) else change
+    some = total != 0
+    return pair[cut][some], band[cut][some], total[some]
 
 
 def align(item: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
@@ -175,20 +241,23 @@ def _short(index: Index, data: np.ndarray, offsets: np.ndarray):
 
 
 def scan(index: Index, data: np.ndarray, offsets: np.ndarray):
-    """(document, item, start, end, edits) in bytes of the document."""
+    """(document, item, start, end, edits) in bytes of the document.
+
+    A wide region, which may hold an item more than once, is aligned half an item of diagonals at a time."""
     data = normal(data)
     yield from _short(index, data, offsets)
     for d, i, lo, hi in index.regions(data, offsets):
-        item, k = index.texts[i], int(index.k[i])
-        a, b = max(0, lo - k), min(int(offsets[d + 1] - offsets[d]), hi + len(item) + k + 1)
-        at = 0
-        own = data[offsets[d] + a : offsets[d] + b].tobytes()
-        while at < len(own):  # a wide region may hold the item more than once
-            found = align(item, own[at:], k)
-            if found is None:
-                break
-            yield d, i, a + at + found[0], a + at + found[1], found[2]
-            at += max(found[1], 1)
+        item, k, done = index.texts[i], int(index.k[i]), 0
+        length, start = int(offsets[d + 1] - offsets[d]), int(offsets[d])
+        step = max(hi - lo + 1 if hi - lo <= len(item) // 2 + 2 * k else 1, len(item) // 2, 1)
+        for x in range(lo, hi + 1, step):
+            a, b = max(0, x - k, done), min(length, min(x + step - 1, hi) + len(item) + k + 1)
+            if b - a < len(item) - k:
+                continue
+            found = align(item, data[start + a : start + b].tobytes(), k)
+            if found is not None:
+                done = a + max(found[1], 1)
+                yield d, i, a + found[0], a + found[1], found[2]
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
@@ -215,17 +284,21 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col:
         shared = spark.sparkContext.broadcast(Index(items, rate))
 
         def run(batches, shared=shared):
-            index = shared.value
+            index, rows = shared.value, []
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            send = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_id", "_h", "item_id", "start", "end", "edits"])
             for batch in batches:
-                rows = []
                 for at, _, data, offsets in chunks(None, batch.column("_text")):
-                    for d, i, a, b, edits in scan(index, data, offsets):
-                        raw = data[offsets[d] : offsets[d] + b].tobytes()
-                        upto = lambda n: len(raw[:n].decode("utf-8", "ignore"))  # noqa: E731, B023
-                        rows.append((batch.column("_id")[at + d].as_py(), batch.column("_h")[at + d].as_py(), index.ids[i], upto(a), upto(b), edits))
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_id", "_h", "item_id", "start", "end", "edits"])
+                    last, upto = -1, None
+                    for d, i, a, b, edits in sorted(scan(index, data, offsets)):
+                        if d != last:
+                            last, upto = d, np.concatenate([[0], np.cumsum(data[offsets[d] : offsets[d + 1]] & 0xC0 != 0x80)])  # characters before each byte
+                        rows.append((batch.column("_id")[at + d].as_py(), batch.column("_h")[at + d].as_py(), index.ids[i], int(upto[a]), int(upto[b]), edits))
+                        if len(rows) >= SEND_ROWS:
+                            yield send(rows)
+                            rows = []
+            if rows:
+                yield send(rows)
 
         part = own.mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)
