@@ -60,8 +60,8 @@ SLOTS = 1 << 16
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted unsigned 64-bit values as differences of a few bytes; larger ones stand apart."""
     d = np.diff(values, prepend=_U(0)).astype("<u8")
-    mean = int(values[-1] - values[0]) // len(values) if len(values) else 0
-    wide = 3 if mean < 1 << 22 else 5
+    mean = int(values[-1] - values[0]) / len(values) + 1 if len(values) else 1
+    wide = min((3, 4, 5, 6), key=lambda w: w + 12 * math.exp(-(256.0**w) / mean))  # bytes of a difference, if gaps fall off evenly
     far = np.flatnonzero(d >> _U(8 * wide))
     low = d.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
     return struct.pack("<iii", len(d), len(far), wide) + low + far.astype("<i4").tobytes() + d[far].tobytes()
