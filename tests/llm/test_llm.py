@@ -199,6 +199,32 @@ def test_decontamination_judges_rows_that_share_an_id(spark):
     assert Counter(kept) == Counter(r for r in rows if leak not in (r[1] or ""))
 
 
+def test_decontamination_of_long_and_repetitive_texts(spark):
+    dashes, dots = "-" * 200, ". " * 90
+    items = [(1, "before " + dashes + " after"), (2, dots + "the end of it"), (3, "a clean item that stands nowhere else at all"), (4, "ab" * 60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    filler = " ".join(f"w{k}" for k in range(2000))
+    rows = [(1, "-" * 3_000_000), (2, filler + " before " + dashes + " after " + filler), (3, "- " * 1_000_000), (4, " " * 2_000_000), (5, ". " * 400_000 + "the end of it"), (6, filler * 40), (7, "x" * 100 + "ab" * 300_000)]
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_contamination(table(spark, rows), bench).collect()}
+    want = {(2, 1), (5, 2), (7, 4)}
+    near = {(1, 1)}  # dashes alone are within the budget of an item that is nearly all dashes
+    assert want <= got <= want | near
+
+
+def test_regions_of_stretches_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(25, 40)))) for i in range(8)]
+    index = decontamination.Index(items, 0.08)
+    text = " ".join(word() for _ in range(3000)) + " " + items[3][1] + " " + items[3][1][:-2] + " " + " ".join(word() for _ in range(500)) + items[5][1]
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    whole = sorted(decontamination.scan(index, data, offsets))
+    monkeypatch.setattr(decontamination, "RUN_HITS", 50)
+    assert sorted(decontamination.scan(index, data, offsets)) == whole
+    assert {(0, 3), (0, 5)} <= {m[:2] for m in whole} and sum(m[1] == 3 for m in whole) >= 2
+
+
 # -- quality ---------------------------------------------------------------
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
@@ -287,6 +313,73 @@ def test_license_scan_matches_brute_force(spark, corpus):
     assert len(license_scan.rules()) > 200
 
 
+SAMPLES = {
+    "mit": "Licensed under the MIT License.",
+    "mit-0": "SPDX-License-Identifier: MIT-0",
+    "x11": "The X11 license applies",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided",
+    "apache-2.0": "You may obtain a copy at http://www.apache.org/licenses/LICENSE-2.0 and",
+    "apache-1.1": "The Apache Software License, Version 1.1",
+    "bsd-2-clause": "under the Simplified BSD License",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse",
+    "bsd-4-clause": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "0bsd": "// SPDX-License-Identifier: 0BSD",
+    "gpl-2.0": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or",
+    "gpl-3.0": "see https://www.gnu.org/licenses/gpl-3.0.html",
+    "agpl-3.0": "GNU Affero General Public License, version 3",
+    "lgpl-2.1": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "lgpl-3.0": "the GNU Lesser General Public License v. 3.0",
+    "gfdl": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License,",
+    "mpl-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the",
+    "mpl-2.0": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cddl-1.0": "Common Development and Distribution License",
+    "eupl-1.2": "Licensed under the EUPL",
+    "artistic-2.0": "The Artistic License 2.0",
+    "perl": "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself.",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "wtfpl": "released under the WTFPL",
+    "psf-2.0": "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2",
+    "php-3.01": "This source file is subject to version 3.01 of the PHP license,",
+    "postgresql": "The PostgreSQL License",
+    "ncsa": "University of Illinois/NCSA Open Source License",
+    "ofl-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "odbl-1.0": "made available under the Open Database License",
+    "cc0-1.0": "https://creativecommons.org/publicdomain/zero/1.0/",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-3.0": "Creative Commons Attribution-ShareAlike 3.0 Unported",
+    "cc-by-nc-4.0": "available under the CC BY-NC 4.0",
+    "cc-by-nc-nd-4.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0",
+    "sspl-1.0": "Server Side Public License",
+    "proprietary": "Acme Inc. All rights reserved.",
+    "non-commercial": "This dataset is for non-commercial use only.",
+    "public-domain": "dedicated to the public domain",
+}
+
+
+def test_every_signature_gives_its_label(spark):
+    rows = list(SAMPLES.items())
+    for _, _, signatures in license_scan.GROUPS:  # the shortest text of each signature, and the one with everything optional
+        for label, notation in signatures:
+            elements = [e.rstrip("?").split("|") for e in notation.split()], [e.rstrip("?").split("|") for e in notation.split() if not e.endswith("?")]
+            rows += [(label, " ".join(w[0] for w in elements[0])), (label, " ".join(w[-1] for w in elements[1]).upper())]
+    df = table(spark, [(k, "Some words; " + t + ", and others") for k, (_, t) in enumerate(rows)])
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert [(rows[k], got[k].labels) for k in got if k < len(SAMPLES) and rows[k][0] not in got[k].labels.split(",")] == []
+    silent = [(rows[k], got[k].labels) for k in got if not any(d.label == rows[k][0] or d["to"] - d["from"] >= len(rows[k][1].split()) for d in got[k].detections)]
+    assert silent == []  # a signature is found, unless a wider one of higher priority holds it
+    assert {"mit", "gpl"} <= {x for r in got.values() for x in r.labels.split(",")} and len({label for label, _ in rows}) > 90
+
+
+def test_a_text_of_nothing_but_licenses(spark):
+    """Some MB: time in proportion to the text, every place found."""
+    n = 60_000
+    r = license_scan.scan_licenses(table(spark, [(1, "Apache License, Version 2.0; " * n)])).drop("detections").first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == (5 * n, n, 0, 5 * n - 5, "apache", "apache,apache-2.0")
+
+
 def test_license_stems_cover_the_rules(spark, empty):
     for r in license_scan.rules():
         elements = re.findall(r"\(\?: \(\?:([^)]*)\) \)(\??)", r["rx"])
@@ -357,6 +450,41 @@ def test_jaccard_classes_with_large_groups(spark, limit, monkeypatch):
     assert got == sorted(brute_classes(rows))
 
 
+@pytest.mark.parametrize("block", [4096, 100])
+def test_dense_group_is_exact(spark, block, monkeypatch):
+    """700 copies with from no to a third of their words changed, and copies of two other texts that share much with them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    random.seed(11)
+    base = [f"t{k}" for k in range(90)]
+    rows = []
+    for i in range(700):
+        own = list(base) if i % 5 else base[:60] + [f"s{i % 2}x{k}" for k in range(30)]
+        for _ in range(random.choice([0, 0, 1, 2, 2, 3, 4, 6])):
+            own[random.randrange(len(own))] = f"e{random.randrange(30)}"
+        rows.append((i, " ".join(own)))
+    rows += rows[:5]
+    got = sorted(map(tuple, ngram_join.jaccard_classes(table(spark, rows)).collect()))
+    assert got == sorted(brute_classes(rows))
+
+
+def test_dense_groups_send_one_row_a_member(spark):
+    """Twice the near copies: twice the rows, in every step that holds a row for a member."""
+    ngram_join.ensure_checkpoint_dir(spark)
+
+    def sent(n):
+        df = table(spark, near_copies(n)).selectExpr("doc_id AS _id", "xxhash64(text) AS _h", "text AS _text")
+        sketch = df.mapInArrow(ngram_join._sketch(5), "_id long, _h long, _k1 long, _k2 long, _n long, _sig binary")
+        nodes = sketch.select("_k1", "_k2", "_n", F.col("_id").alias("rep"), F.col("_id").alias("low"), F.col("_h").alias("low_h"), F.lit(1).cast("long").alias("copies"), "_sig").checkpoint()
+        members, _, whole = ngram_join._buckets(nodes, 33)
+        groups = ngram_join._dense_groups(whole)
+        texts = df.mapInArrow(ngram_join._zip, "_id long, _h long, _z binary").selectExpr("_id AS rep", "1L AS copies", "_z")
+        found = ngram_join._dense_links(groups, groups.join(texts, "rep"), 5, 0.8)
+        return members.count() + whole.count(), groups.count(), found.count()
+
+    small, large = sent(1500), sent(3000)
+    assert all(y <= 2.3 * x for x, y in zip(small, large, strict=True)) and large[1] <= 3000 and large[2] <= 6000
+
+
 def test_one_row_per_class(spark, edge, empty):
     kept = ngram_join.keep_one_per_class(edge)
     assert kept.columns == edge.columns
@@ -430,6 +558,22 @@ def test_token_counts_match_brute_force(spark, corpus, edge, empty):
     assert token_counts.suffix_sums(token_counts.length_histogram(token_counts.encoded_lengths(empty))).count() == 0
 
 
+def test_token_counts_of_long_runs(spark):
+    encoder = token_counts.encoding(token_counts.VOCABULARY)
+    random.seed(2)
+    for _ in range(200):  # as the encoder alone counts, where it can
+        parts = []
+        for _ in range(random.randint(1, 5)):
+            parts += ["".join(random.choice(" \n\t\u3000\xa0\r\x1c") for _ in range(random.choice([1, 2, 300, 700]))), " " * random.choice([0, 255, 256, 257, 900]), random.choice(["word", "12", "'s", "...", "日本", ""])]
+        text = "".join(parts[random.randint(0, 1) :])
+        assert token_counts.encoded_length(encoder, text) == len(encoder.encode_ordinary(text))
+    rows = [(1, " " * 3_000_000), (2, "x" + "\n \t" * 1_000_000 + "y"), (3, "a" * 2_000_000), (4, "漢字仮名" * 500_000), (5, "-" * 3_000_000)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.encoded_lengths(table(spark, rows)).collect()}
+    assert got[1] == 3_000_000 and all(n > 1000 for n in got.values())
+    plan = token_counts.suffix_sums(token_counts.length_histogram(token_counts.encoded_lengths(table(spark, rows[:1]))))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # the histogram is read from the checkpoint: texts were encoded once
+
+
 # -- exact search ----------------------------------------------------------
 def brute_topk(rows, queries_, k):
     out = []
@@ -439,9 +583,10 @@ def brute_topk(rows, queries_, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [0.05, 1.0, 30.0])
-def test_exact_topk_matches_brute_force(spark, scale, monkeypatch):
-    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 16)
+@pytest.mark.parametrize("scale,level", [(0.05, 40), (1.0, 1 << 18), (30.0, 100)])
+def test_exact_topk_matches_brute_force(spark, scale, level, monkeypatch):
+    monkeypatch.setattr(exact_topk, "QUERY_VALUES", 128)
+    monkeypatch.setattr(exact_topk, "LEVEL_ROWS", level)
     rng = np.random.default_rng(3)
     centre = rng.normal(size=8)
     vs = [(i, (rng.normal(size=8) * scale + (centre * 3 if i % 5 == 0 else 0)) * (1 + i % 7)) for i in range(700)]
@@ -452,6 +597,10 @@ def test_exact_topk_matches_brute_force(spark, scale, monkeypatch):
     want = brute_topk(ints, [(i, v) for i, v in ints if i % 20 == 0 or i > 1998], 10)
     assert sorted(map(tuple, got.collect())) == want
     assert exact_topk.exact_topk(df.limit(0), df.limit(0)).count() == 0
+    again = exact_topk.exact_topk(df.where("vec_id < 20").unionAll(df.where("vec_id < 20")), df.where("vec_id = 0").unionAll(df.where("vec_id = 0")), k=4).collect()
+    assert [r.rank for r in sorted(again, key=lambda r: r.rank)] == [1, 2, 3, 4]
+    with pytest.raises(Exception, match="too long"):
+        exact_topk.exact_topk(spark.createDataFrame([(1, [1e18])], "vec_id long, embedding array<double>"), df).count()
 
 
 # -- registered queries and their SQL --------------------------------------
@@ -495,3 +644,10 @@ def test_pipeline_against_brute_force(spark, data, tmp_path):
             assert sorted(rows) == sorted(before) and all(r.round_trip for r in rows.values())
         docs = after
     assert "corpus_pipeline" in sys.modules
+
+
+def test_packed_values_come_back():
+    rng = np.random.default_rng(5)
+    for top, n in ((1 << 44, 50_000), (1 << 52, 300), (1 << 60, 5), (1 << 20, 1), (10, 0)):
+        v = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        assert (substring_dedup.unpack_sorted(substring_dedup.pack_sorted(v)) == v).all()
