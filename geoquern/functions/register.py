@@ -118,8 +118,19 @@ def as_mvt_agg(*cols: pd.Series) -> bytes:
     return encode_tile(features, name, extent)
 
 
-def _edges(rows, k: int, back: bool):
-    return [(int(r[0]), int(r[1]), int(r[2]), float(r[3]), *((float(r[k]),) if back else ())) for r in rows]
+def _graph(cols, ends: int):
+    """(graph, then the values of the two columns after the edges') of rows without a null; None without rows.
+
+    The columns are those of an edge (an id is made up if ``ends`` is 3), then two constants, then perhaps the cost back."""
+    import numpy as np
+
+    whole = pd.concat(cols, axis=1).notna().all(axis=1).to_numpy()
+    if not whole.any():
+        return None
+    values = [c.to_numpy()[whole] for c in cols]
+    ids = np.zeros(int(whole.sum()), np.int64) if ends == 3 else values[0]
+    back = values[ends + 2] if len(cols) > ends + 2 else None
+    return (route.Graph(ids, *values[ends - 3 : ends], back), values[ends], values[ends + 1])
 
 
 def _rows_json(names, rows):
@@ -127,28 +138,30 @@ def _rows_json(names, rows):
 
 
 def dijkstra_agg(*cols: pd.Series) -> str:
-    rows = _complete(*cols)
-    if not rows:
+    made = _graph(cols, 4)
+    if made is None:
         return None
-    a, b = _constant([r[4] for r in rows], "start"), _constant([r[5] for r in rows], "end")
-    return _rows_json(("seq", "node", "edge", "cost", "agg_cost"), route.shortest_path(_edges(rows, 6, len(cols) > 6), int(a), int(b)))
+    g, start, end = made
+    a, b = _constant(start.tolist(), "start"), _constant(end.tolist(), "end")
+    return _rows_json(("seq", "node", "edge", "cost", "agg_cost"), route.shortest_path(g, int(a), int(b)))
 
 
 def dijkstra_cost_agg(*cols: pd.Series) -> float:
-    rows = _complete(*cols)
-    if not rows:
+    made = _graph(cols, 3)
+    if made is None:
         return None
-    a, b = _constant([r[3] for r in rows], "start"), _constant([r[4] for r in rows], "end")
-    return route.path_cost([(0, int(r[0]), int(r[1]), float(r[2]), *((float(r[5]),) if len(cols) > 5 else ())) for r in rows], int(a), int(b))
+    g, start, end = made
+    a, b = _constant(start.tolist(), "start"), _constant(end.tolist(), "end")
+    return route.path_cost(g, int(a), int(b))
 
 
 def driving_distance_agg(*cols: pd.Series) -> str:
-    rows = _complete(*cols)
-    if not rows:
+    made = _graph(cols, 4)
+    if made is None:
         return None
-    a, limit = _constant([r[4] for r in rows], "start"), _constant([r[5] for r in rows], "the limit")
+    g, start, limit = made
     names = ("seq", "depth", "start_vid", "pred", "node", "edge", "cost", "agg_cost")
-    return _rows_json(names, route.driving_distance(_edges(rows, 6, len(cols) > 6), int(a), float(limit)))
+    return _rows_json(names, route.driving_distance(g, int(_constant(start.tolist(), "start")), float(_constant(limit.tolist(), "the limit"))))
 
 
 #: Grouped aggregates by SQL name: function and return type.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,10 +78,6 @@ PATH = "array<struct<seq:int,node:bigint,edge:bigint,cost:double,agg_cost:double
 REACH = "array<struct<seq:int,depth:int,start_vid:bigint,pred:bigint,node:bigint,edge:bigint,cost:double,agg_cost:double>>"
 
 
-def _edges(group, back: bool):
-    return [(e["id"], e["source"], e["target"], e["cost"], *((e["back"],) if back else ())) for e in group if all(e[c] is not None for c in EDGE)]
-
-
 def shortest_paths(edges: DataFrame, requests: DataFrame, group: str, reverse: str | None = None) -> DataFrame:
     """``path`` (array of steps) for each request (group, start_vid, end_vid) over the edges of its group.
 
@@ -92,9 +89,13 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, group: str, reverse: s
     def run(e: pa.Array, r: pa.Array) -> pa.Array:
         names = ("seq", "node", "edge", "cost", "agg_cost")
         out = []
-        for graph, asked in zip(e.to_pylist(), r.to_pylist(), strict=True):
-            rows = _edges(graph, reverse is not None)
-            paths = route.shortest_path_many(rows, [(q["start_vid"], q["end_vid"]) for q in asked])
+        for k, asked in enumerate(r.to_pylist()):
+            rows = e[k].values
+            parts = {f.name: rows.field(f.name) for f in rows.type}
+            whole = pc.and_(pc.and_(pc.is_valid(parts["id"]), pc.is_valid(parts["source"])), pc.and_(pc.is_valid(parts["target"]), pc.is_valid(parts["cost"])))
+            column = lambda c, own=parts, some=whole: own[c].filter(some).to_numpy(zero_copy_only=False)
+            graph = route.Graph(*(column(c) for c in EDGE), column("back") if reverse is not None else None)
+            paths = route.shortest_path_many(graph, [(q["start_vid"], q["end_vid"]) for q in asked])
             out.append([{**q, "path": None if p is None else [dict(zip(names, x, strict=True)) for x in p]} for q, p in zip(asked, paths, strict=True)])
         return pa.array(out, RESULT)
 
