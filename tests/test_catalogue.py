@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from geoquern import catalogue, catalogue_scalars
+from geoquern import catalogue, catalogue_operators, catalogue_scalars
 
-QUERIES = catalogue.queries() | catalogue_scalars.QUERIES
-SQL = catalogue.oracle_sql() | catalogue_scalars.SQL
+QUERIES = catalogue.queries() | catalogue_scalars.QUERIES | catalogue_operators.QUERIES
+SQL = catalogue.oracle_sql() | catalogue_scalars.SQL | catalogue_operators.SQL
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
