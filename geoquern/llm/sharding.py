@@ -9,21 +9,28 @@ is full, and the loads are bounded for certain.
 
 Only the number of rows per arc (at most ``ring_slots`` numbers, however large the
 table) comes to the driver; the resulting plan goes back as a literal of bounded
-size.  Rows are numbered in their arc by one window over small rows.
+size.  Rows that agree in id, checksum and size are counted first and numbered as one
+(in their arc, or on large tables in a part of it); then they are spread again in pieces of ``PIECE`` rows, so
+no number of equal rows meets in one task.
 
 Edge cases: a null text has 0 bytes (size 1, checksum 0); null ids and repeated
 rows are placed like others (the key is id, checksum and size together, so equal
-ids do not pile up); an empty table gives an empty result; other columns are ignored.
+ids do not pile up); of very long texts only the size and checksum move; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _M = (1 << 64) - 1
+#: Rows of a part of an arc that are numbered in one task, about, and equal rows that one task spreads.
+PART_ROWS = 1 << 20
+PIECE = 1 << 16
 
 
 def _point(shard: int, replica: int) -> int:
@@ -89,15 +96,36 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, virtual_nodes: int = 64,
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     keyed = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     keyed = keyed.withColumn("_h", F.xxhash64("_id", "text_crc32", "size")).withColumn("_arc", _arc(ring_slots))
-    counts = {r["_arc"]: r["count"] for r in keyed.groupBy("_arc").count().collect()}  # ring_slots rows at most
+    same = keyed.groupBy("_arc", "_h", "_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))  # combined where they are read
+    counts = {r["_arc"]: r["n"] for r in keyed.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()}  # ring_slots rows at most
+    total = sum(counts.values())
     prefer = preferences(n_shards, virtual_nodes, ring_slots)
-    plan = fill(counts, prefer, bounds(sum(counts.values()), n_shards, slack))
+    plan = fill(counts, prefer, bounds(total, n_shards, slack))
     table = F.from_json(F.lit(json.dumps(plan)), "array<array<struct<lo:long,hi:long,shard:int,base:long>>>")
     home = F.from_json(F.lit(json.dumps([p[0] for p in prefer])), "array<int>")
-    rank = F.row_number().over(Window.partitionBy("_arc").orderBy("_h", "_id", "text_crc32", "size")).cast("long") - 1
-    ranked = keyed.withColumn("_rank", rank)
+    # the further bits of the hash cut an arc into parts, in the order of the hash
+    arc_bits = ring_slots.bit_length() - 1
+    part_bits = min(24, max(0, math.ceil(math.log2(max(1, total) / ring_slots / PART_ROWS))))
+    part = F.shiftrightunsigned(F.shiftleft(F.col("_h"), arc_bits), 64 - part_bits).cast("int") if part_bits else F.lit(0)
+    same = same.withColumn("_part", part)
+    own = Window.partitionBy("_arc", "_part").orderBy("_h", "_id", "text_crc32", "size")
+    ranked = same.withColumn("_first", F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = ranked.withColumn("_first", F.coalesce("_first", F.lit(0)))
+    if part_bits:
+        sizes = same.groupBy("_arc", "_part").agg(F.sum("_n").alias("_m"))
+        before = sizes.select("_arc", "_part", F.coalesce(F.sum("_m").over(Window.partitionBy("_arc").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        ranked = ranked.join(before, ["_arc", "_part"]).withColumn("_first", F.col("_first") + F.col("_before"))
+    # equal rows again one by one: those of large groups in pieces that are dealt out anew
+    zero = F.lit(0).cast("long")
+    step = lambda n: F.explode(F.sequence(zero, n - 1)).alias("_k")
+    columns = ["_arc", "_id", "size", "text_crc32"]
+    few = ranked.where(F.col("_n") <= PIECE).select(*columns, "_first", step(F.col("_n")))
+    pieces = ranked.where(F.col("_n") > PIECE).select(*columns, "_first", "_n", step(F.ceil(F.col("_n") / PIECE)))
+    pieces = pieces.select(*columns, (F.col("_first") + F.col("_k") * PIECE).alias("_first"), F.least(F.lit(PIECE).cast("long"), F.col("_n") - F.col("_k") * PIECE).alias("_n"))
+    many = pieces.repartition("_first").select(*columns, "_first", step(F.col("_n")))
+    placed = few.unionByName(many).withColumn("_rank", F.col("_first") + F.col("_k"))
     piece = F.filter(F.element_at(table, F.col("_arc") + 1), lambda p: (p["lo"] <= F.col("_rank")) & (F.col("_rank") < p["hi"]))[0]
-    placed = ranked.withColumn("_piece", piece)
+    placed = placed.withColumn("_piece", piece)
     return placed.select(
         F.col("_id").alias(id_col), "size", "text_crc32",
         F.col("_piece.shard").alias("shard"),
