@@ -10,8 +10,8 @@ to ``max_chars``); scoring reads every text whole.
 
 Edge cases: null and empty texts have no features and score by the thresholds alone;
 without labelled rows, or with one grade only, every text gets that grade (or 0) and
-tail probability 1; repeated rows score alike; an empty table gives an empty result;
-other columns are ignored.
+tail probability 1; repeated rows score alike; very long texts are scored whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
