@@ -15,6 +15,8 @@ from .operators import frame
 from .plans.rewrite import fold
 from .streaming import geofence
 
+#: Rows below which a table may come as fewer partitions than there are cores.
+SPREAD_ROWS = 2_000_000
 WINDOW = (-60.0, -40.0, 75.0, 50.0)
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -37,7 +39,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before heavy kernels, where a small file came as fewer partitions than there are cores."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+    few = df.limit(SPREAD_ROWS + 1).count() <= SPREAD_ROWS
+    return df.repartition(n) if few else df
 
 
 # -- geometry from keys ----------------------------------------------------
@@ -459,10 +462,15 @@ def geo_driving_distance(spark, d):
 @query(_SQL["geo_driving_distance"])
 def geo_bounded_costs(spark, d):
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():  # where the session names no folder, as in tests
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.startswith("local") and "cluster" not in sc.master:
+            import tempfile  # one process does all the work, as in tests
+
+            folder = tempfile.mkdtemp()
+        if not folder:
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return agg.bounded_costs(_edges(spark, d), 1, 6.0).select("node", F.round("agg_cost", 6).alias("agg_cost"))
 
 
