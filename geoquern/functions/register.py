@@ -79,33 +79,31 @@ def union_agg(g: pd.Series) -> bytes:
     return None if out is None else codec.encode(out)
 
 
+def _sides(g: pd.Series, names: tuple[str, ...]):
+    """Sides of the boxes of a group, by whole batches; not a number where a geometry is empty."""
+    column = pa.array([b for b in g if b is not None], pa.binary())
+    return column, [_series(n, False)(column).to_numpy(zero_copy_only=False).astype(float) for n in names]
+
+
 def extent_agg(g: pd.Series) -> bytes:
-    box, srid = None, 0
-    for b in g:
-        if b is None:
-            continue
-        v = codec.decode(b)
-        srid = srid or max(0, v.srid)
-        own = M.envelope(v)
-        if own:
-            box = own if box is None else (min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3]))
-    return None if box is None else codec.encode(M.box_polygon(box, srid))
+    column, (x0, y0, x1, y1) = _sides(g, ("ST_MinX", "ST_MinY", "ST_MaxX", "ST_MaxY"))
+    some = x0 == x0
+    if not some.any():
+        return None
+    srids = _series("ST_SRID", False)(column).to_numpy(zero_copy_only=False)
+    known = srids[srids > 0]
+    return codec.encode(M.box_polygon((float(x0[some].min()), float(y0[some].min()), float(x1[some].max()), float(y1[some].max())), int(known[0]) if len(known) else 0))
 
 
 def extent_3d_agg(g: pd.Series) -> str:
-    low, high = None, None
-    for b in g:
-        if b is None:
-            continue
-        v = codec.decode(b)
-        for c in M.coords(v):
-            p = (c[0], c[1], c[2] if v.z else 0.0)
-            low = p if low is None else tuple(map(min, low, p))
-            high = p if high is None else tuple(map(max, high, p))
-    if low is None:
+    column, sides = _sides(g, ("ST_XMin", "ST_YMin", "ST_ZMin", "ST_XMax", "ST_YMax", "ST_ZMax"))
+    some = sides[0] == sides[0]
+    if not some.any():
         return None
-    n = lambda p: " ".join(codec.number(x) for x in p)
-    return f"BOX3D({n(low)},{n(high)})"
+    for k in (2, 5):
+        sides[k][sides[k] != sides[k]] = 0.0  # a geometry without heights stands at 0
+    n = lambda p: " ".join(codec.number(float(x)) for x in p)
+    return f"BOX3D({n(v[some].min() for v in sides[:3])},{n(v[some].max() for v in sides[3:])})"
 
 
 def as_mvt_agg(*cols: pd.Series) -> bytes:

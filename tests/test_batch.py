@@ -106,3 +106,23 @@ def test_common_calls_run_as_whole_batches():
     assert batch.run("ST_GeomFromText", (pa.array(texts),), refuse) is not None
     a, b = pa.array(column(rng, "rect", 500), pa.binary()), pa.array(column(rng, "rect", 500), pa.binary())
     assert batch.run("ST_Overlaps", (a, b), refuse) is not None
+
+
+def test_extent_aggregates_agree_with_a_loop():
+    import pandas as pd
+
+    from geoquern.functions.register import extent_3d_agg, extent_agg
+
+    rng = random.Random(4)
+    for make in ("point", "rect", "mixed"):
+        values = column(rng, make, 200)
+        own = [codec.decode(b) for b in values if b is not None]
+        boxes = [b for b in map(M.envelope, own) if b]
+        low, high = [min(b[k] for b in boxes) for k in (0, 1)], [max(b[k] for b in boxes) for k in (2, 3)]
+        got = codec.decode(extent_agg(pd.Series(values, dtype=object)))
+        assert M.envelope(got) == (*low, *high) and got.srid == next((g.srid for g in own if g.srid > 0), 0)
+        n = codec.number
+        assert extent_3d_agg(pd.Series(values, dtype=object)) == f"BOX3D({n(low[0])} {n(low[1])} 0,{n(high[0])} {n(high[1])} 0)"
+    assert extent_agg(pd.Series([None, geometry(rng, "empty")], dtype=object)) is None and extent_3d_agg(pd.Series([None], dtype=object)) is None
+    z = [FUNCTIONS["ST_MakePoint"].call(1.0, 2.0, v) for v in (-3.0, 7.5)] + [geometry(rng, "point", srid=0)]
+    assert extent_3d_agg(pd.Series(z, dtype=object)).split(",")[0].endswith(" -3") and extent_3d_agg(pd.Series(z, dtype=object)).endswith("7.5)")

@@ -257,3 +257,70 @@ def test_knn_matches_brute_force(spark, n, k):
         near = sorted((((r.qx - a) ** 2 + (r.qy - b) ** 2) ** 0.5, p) for p, a, b in ps)[:k]
         want += [(r.q, j + 1, p) for j, (_, p) in enumerate(near)]
     assert got == sorted(want)
+
+
+def test_feature_table(spark, tmp_path):
+    from geoquern.sources.table import FeatureTable
+
+    k = F.col("id")
+    features = spark.range(2000).select(k, (k % 50).cast("double").alias("x"), (F.floor(k / 50)).cast("double").alias("y")).select("id", call("ST_MakePoint", "x", "y").alias("geom"), F.lit("old").alias("name"))
+    t = FeatureTable(spark, str(tmp_path / "features"))
+    assert t.stats()["features"] == 0 and t.read() is None and t.delete(spark.range(1)) is None
+    t.load(features)
+    window = fold("ST_MakeEnvelope", 9.5, 9.5, 20.5, 15.0)
+    hits = t.query(window)
+    assert hits.count() == 11 * 6 and t.stats()["extent"] == "POLYGON((0 0,0 39,49 39,49 0,0 0))"
+    plan = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [" in plan and "bbox.minx" in plan
+    moved = spark.createDataFrame([(510, "new"), (5000, "new"), (5000, "new")], "id long, name string").withColumn("geom", call("ST_MakePoint", F.lit(12.0), F.lit(12.0)))
+    t.upsert(moved)
+    assert t.stats()["features"] == 2001 and t.query(window).where("name = 'new'").count() == 2
+    t.delete(spark.range(0, 1000))
+    assert t.stats()["features"] == 1001 and t.versions() == [1, 2, 3]
+    (tmp_path / "features" / "v=4").mkdir()  # a writer that was lost
+    assert t.stats()["version"] == 3
+    t.vacuum()
+    assert t.versions() == [3]
+    t.clear()
+    assert t.versions() == [] and t.stats()["features"] == 0
+
+
+def test_scan_of_a_feature_table_skips_row_groups(spark, tmp_path):
+    """The pruned scan end to end: fewer rows leave the scan than the table holds."""
+    k = F.col("id")
+    points = spark.range(40_000).select(k, (k % 200 - 100).cast("double").alias("x"), (F.floor(k / 200) % 160 - 80).cast("double").alias("y")).withColumn("geom", call("ST_MakePoint", "x", "y"))
+    readers.write_features(points.select("id", "geom"), str(tmp_path / "t"), partitions=16)
+    own = spark.read.parquet(str(tmp_path / "t"))
+    window = fold("ST_MakeEnvelope", 10.0, 10.0, 14.0, 13.0)
+    hits = frame.window_query(own, window)
+    assert hits.count() == 5 * 4
+    hits.collect()
+    node = hits._jdf.queryExecution().executedPlan()
+    stack, read = [node], []
+    while stack:
+        n = stack.pop()
+        name = n.nodeName()
+        if name.startswith("Scan parquet"):
+            read.append(n.metrics().apply("numOutputRows").value())
+        for attr in ("executedPlan", "inputPlan", "plan"):
+            try:
+                stack.append(getattr(n, attr)())
+            except Exception:  # noqa: BLE001  not that kind of node
+                pass
+        children = n.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    assert read and max(read) < 10_000
+
+
+def test_edge_lists_and_tiles(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("id,source,target,cost,reverse_cost\n1,1,2,1.5,\n2,2,3,2.0,-1\n3,3,1,0.5,0.25\n")
+    edges = readers.read_edges(spark, str(tmp_path / "e.csv"))
+    assert [(f.name, f.dataType.simpleString()) for f in edges.schema] == [("id", "bigint"), ("source", "bigint"), ("target", "bigint"), ("cost", "double"), ("reverse_cost", "double")]
+    assert sorted(map(tuple, edges.collect())) == [(1, 1, 2, 1.5, None), (2, 2, 3, 2.0, -1.0), (3, 3, 1, 0.5, 0.25)]
+    asked = spark.createDataFrame([(0, 1, 3)], "g int, start_vid long, end_vid long")
+    path = agg.shortest_paths(edges.withColumn("g", F.lit(0)), asked, "g", reverse="reverse_cost").first().path
+    assert path[-1].agg_cost == 0.25 and [s.edge for s in path] == [3, -1]
+    tiles = spark.range(20).select(F.lit(3).alias("z"), (F.col("id") % 5).alias("x"), F.floor(F.col("id") / 5).alias("y"), F.encode(F.col("id").cast("string"), "UTF-8").alias("tile"))
+    readers.write_tiles(tiles, str(tmp_path / "tiles"), ["z", "x", "y"])
+    back = spark.read.parquet(str(tmp_path / "tiles"))
+    assert back.count() == 20 and back.where("x = 2 AND y = 3").first().tile == b"17"
