@@ -201,7 +201,7 @@ _OUTSIDE = f"({_X} < 0 OR {_X} > w OR {_Y} < 0 OR {_Y} > h)"
 _MATRIX = f"CASE WHEN {_INSIDE} THEN '0F2FF1FF2' WHEN {_OUTSIDE} THEN 'FF2FF10F2' ELSE 'FF20F1FF2' END"
 group(
     "geo_relations", "customer", "c_custkey",
-    relate=(fn("ST_Relate", RECT, _NEAR), _MATRIX), pattern=truth(call("ST_RelateMatch", fn("ST_Relate", RECT, _NEAR), lit("T*****FF*")), _INSIDE), ordering=truth(call("ST_OrderingEquals", geom(LINE), any_of(LINE, "LINESTRING({c} {d},{c} {b},{a} {b})")), "k % 2 = 0"),
+    relate=(fn("ST_Relate", RECT, _NEAR), _MATRIX), by_pattern=truth(fn("ST_RelatePattern", RECT, _NEAR, "T*****FF*"), _INSIDE), pattern=truth(call("ST_RelateMatch", fn("ST_Relate", RECT, _NEAR), lit("T*****FF*")), _INSIDE), ordering=truth(call("ST_OrderingEquals", geom(LINE), any_of(LINE, "LINESTRING({c} {d},{c} {b},{a} {b})")), "k % 2 = 0"),
     dwithin=truth(fn("ST_DWithin", _NEAR, RECT, 1.0), f"greatest(0, -{_X}, {_X} - w) * greatest(0, -{_X}, {_X} - w) + greatest(0, -{_Y}, {_Y} - h) * greatest(0, -{_Y}, {_Y} - h) <= 1"), fully=truth(fn("ST_DFullyWithin", POINT, LINE, 5.5), "w * w + h * h <= 30"), circle=truth(fn("ST_PointInsideCircle", "POINT({c} {d})", expr("CAST(a AS DOUBLE)"), expr("CAST(b AS DOUBLE)"), 4.5), "w * w + h * h <= 20"),
     ring=truth(call("ST_IsRing", any_of("LINESTRING({a} {b},{c} {b},{c} {d},{a} {b})", LINE, "LINESTRING({a} {b},{c} {d},{c} {b},{a} {d},{a} {b})")), "k % 3 = 0"), cw=truth(call("ST_IsPolygonCW", any_of(RECT, CLOCKWISE)), "k % 2 = 1"), ccw=truth(call("ST_IsPolygonCCW", any_of(RECT, CLOCKWISE)), "k % 2 = 0"),
     crossing=whole(call("ST_LineCrossingDirection", geom("LINESTRING({a} {b},{a + 10} {b + 10})"), any_of("LINESTRING({a} {b + 10},{a + 10} {b})", "LINESTRING({a + 10} {b},{a} {b + 10})", "LINESTRING({a + 20} {b},{a + 30} {b})")), "CASE k % 3 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END"),
@@ -258,6 +258,20 @@ group(
     covered=truth(call("ST_Covers", call("ST_Buffer", call("ST_UnaryUnion", _HEXES), lit(1e-6)), geom(RECT)), "true"),
 )
 
+_FIVE = "MULTIPOINT(({a} {b}),({a + 2 * w} {b}),({a + 2 * w} {b + 2 * h}),({a} {b + 2 * h}),({c} {d}))"
+_ZIGZAG = "LINESTRING({a} {b},{a + 5} {b + h},{a + 10} {b},{a + 15} {b - h},{a + 20} {b})"
+_SPIKED = "POLYGON(({a} {b},{a + 4 * w} {b},{a + 4 * w} {b + 4 * h},{a + 2 * w} {b + h},{a} {b + 4 * h},{a} {b}))"
+_TURNED = "POLYGON(({a} {b},{a + 3 * w} {b + 4 * w},{a + 3 * w - 4 * h} {b + 4 * w + 3 * h},{a - 4 * h} {b + 3 * h},{a} {b}))"
+group(
+    "geo_shapes",
+    hull=number(_AREA(fn("ST_ConvexHull", ELL)), "4 * w * h - w * h / 2.0"), hull_points=whole(call("ST_NPoints", fn("ST_ConvexHull", _SPIKED)), "5"), oriented=number(_AREA(fn("ST_OrientedEnvelope", _TURNED)), "25 * w * h"), triangles=whole(call("ST_NumGeometries", fn("ST_DelaunayTriangles", _FIVE)), "4"),
+    triangle_area=number(_AREA(fn("ST_DelaunayTriangles", _FIVE)), "4 * w * h"), cells=whole(call("ST_NumGeometries", fn("ST_VoronoiPolygons", _FIVE)), "5"), ears=whole(call("ST_NumGeometries", fn("ST_TriangulatePolygon", _SPIKED)), "3"), ear_area=number(_AREA(fn("ST_TriangulatePolygon", _SPIKED)), "16 * w * h - 6 * w * h"),
+    simple=whole(call("ST_NumPoints", fn("ST_Simplify", _ZIGZAG, 2.5)), "CASE WHEN h > 2.5 THEN 4 ELSE 2 END"), parts=number(_AREA(fn("ST_Subdivide", _SPIKED, 5)), "10 * w * h"), small_parts=truth(call("ST_NumGeometries", fn("ST_Subdivide", _SPIKED, 5)) == call("ST_NRings", fn("ST_Subdivide", _SPIKED, 5)), "true"),
+    round_buffer=number(_AREA(fn("ST_Buffer", RECT, 1.0)), "w * h + 2 * (w + h) + 16 * sin(pi() / 16)"), eroded=number(_AREA(fn("ST_Buffer", ELL, -0.25)), "3 * w * h - 0.25 * (4 * w + 4 * h) + 0.25 * 0.25 * 6 - 0.25 * 0.25 * 8 * sin(pi() / 16) / 2 - 0.25 * 0.25"),
+    inside=truth(call("ST_Contains", geom(_SPIKED), fn("ST_PointOnSurface", _SPIKED)), "true"), centre_x=number(call("ST_X", fn("ST_Centroid", ELL)), "a + (2 * w * h * w + w * h * w / 2.0) / (3.0 * w * h)"), invalid=truth(call("ST_IsValid", any_of(_SPIKED, "POLYGON(({a} {b},{c} {d},{c} {b},{a} {d},{a} {b}))")), "k % 2 = 0"),
+    mended=number(_AREA(call("ST_MakeValid", geom("POLYGON(({a} {b},{a + 2 * w} {b + 2 * h},{a + 2 * w} {b},{a} {b + 2 * h},{a} {b}))"))), "2 * w * h"), reason=truth(call("ST_IsValidReason", any_of(RECT, "POLYGON(({a} {b},{c} {d},{c} {b},{a} {d},{a} {b}))")) == lit("Valid Geometry"), "k % 2 = 0"),
+)
+
 # -- cells -----------------------------------------------------------------
 _LON, _LAT = "(CAST(k * 7919 % 360000 AS DOUBLE) / 1000 - 180)", "(CAST(k * 104729 % 170000 AS DOUBLE) / 1000 - 85)"
 _HASH = call("ST_GeoHash", call("ST_MakePoint", expr(_LON), expr(_LAT)), lit(4))
