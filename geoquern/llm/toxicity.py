@@ -10,13 +10,14 @@ the document score is a logistic function of the highest marginal and of the
 sum of those above one half, fitted on the training documents.  Tokens with a marginal
 of at least ``SPAN`` are the offending offsets.
 
-Sequences are runs of at most ``RUN`` tokens of one document, so texts are read whole and
-all sequences of a batch advance together.  Fitting reads a bounded sample of the
+The chain of a document is one, however long: it is cut into runs of ``RUN`` tokens, all runs of a batch advance
+together, and each run's product of transitions carries the forward and backward messages
+over to its neighbours before the run is gone through with them.  Fitting reads a bounded sample of the
 labelled rows that ``where`` admits; scoring reads nothing but the text.
 
 Edge cases: null and empty texts have no tokens and get the score of a text without
 offending tokens; without toxic training rows every score is 0; repeated rows score
-alike; an empty table gives an empty result; other columns are ignored.
+alike; very long texts are scored whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,52 +71,73 @@ class Crf:
     score: tuple[float, float, float]  # logistic: constant, highest marginal, offending mass
 
 
-def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the sequences."""
+def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths, documents and places in the document of the runs."""
     n = np.diff(first)
     parts = -(-n // RUN)
     doc = np.repeat(np.arange(len(n)), parts)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
     start = first[:-1][doc] + k * RUN
-    return start, np.minimum(RUN, first[1:][doc] - start)
+    return start, np.minimum(RUN, first[1:][doc] - start), doc, k
 
 
-def _padded(start: np.ndarray, length: np.ndarray):
-    """Sequences by falling length, and how many are at least as long as each step."""
-    order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
-    width = int(length[0]) if len(length) else 0
-    alive = np.searchsorted(-length, -np.arange(1, width + 1), "right")
-    return start, length, alive
+def forward_backward(u: np.ndarray, first: np.ndarray, trans: np.ndarray):
+    """Marginal of tag 1 by token, log-partition by document, expected transitions (2 x 2).
 
-
-def forward_backward(u: np.ndarray, start: np.ndarray, length: np.ndarray, trans: np.ndarray):
-    """Marginal of tag 1 by token, log-partition by sequence, expected transitions (2 x 2).
-
-    ``u`` are the scores of tag 1 (those of tag 0 are 0) of the tokens of all sequences."""
-    start, length, alive = _padded(start, length)
-    width, k = len(alive), len(start)
+    ``u`` are the scores of tag 1 (those of tag 0 are 0) of the tokens of all documents, which start at ``first``."""
+    start, length, doc, place = _runs(first)
+    order = np.argsort(-length, kind="stable")  # runs by falling length: those that have a step are a prefix
+    start, length, doc, place = start[order], length[order], doc[order], place[order]
+    k = len(start)
+    p, pairs, logz = np.zeros(len(u)), np.zeros((2, 2)), np.zeros(len(first) - 1)
+    if not k:
+        return p, logz, pairs
+    alive = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right")
     t = np.exp(trans)
     e = np.exp(np.clip(u, -50, 50))
-    a = np.zeros((width, k, 2))
-    scale = np.ones((width, k))
+    lead = place == 0
+    coming, leaving = np.ones((k, 2)), np.ones((k, 2))
+    if (~lead).any():
+        # what a run makes of the message before it, for either tag: its product of transitions and scores, scaled
+        through = np.broadcast_to(np.eye(2), (k, 2, 2)).copy()
+        for j, n in enumerate(alive):
+            x = through[:n] @ t
+            if j == 0:
+                x[lead[:n]] = np.eye(2)
+            x[:, :, 1] *= e[start[:n] + j][:, None]
+            through[:n] = x / x.sum((1, 2), keepdims=True)
+        at = np.empty(k, np.int64)
+        at[np.lexsort((place, doc))] = np.arange(k)
+        seq = np.argsort(at)  # runs in the order of the documents
+        last = np.append(doc[seq][1:] != doc[seq][:-1], True)
+        for r in range(1, int(place.max()) + 1):
+            own = np.flatnonzero(place[seq] == r)
+            message = (coming[seq[own - 1]][:, None, :] @ through[seq[own - 1]])[:, 0]
+            coming[seq[own]] = message / message.sum(1, keepdims=True)
+        for r in range(int(place.max()) - 1, -1, -1):
+            own = np.flatnonzero((place[seq] == r) & ~last)
+            message = (through[seq[own + 1]] @ leaving[seq[own + 1]][:, :, None])[:, :, 0]
+            leaving[seq[own]] = message / message.sum(1, keepdims=True)
+    a = np.zeros((len(alive), k, 2))
+    scale = np.ones((len(alive), k))
     for j, n in enumerate(alive):
-        emit = np.stack([np.ones(n), e[start[:n] + j]], axis=1)
-        x = emit if j == 0 else (a[j - 1, :n] @ t) * emit
+        x = np.where(lead[:n, None], coming[:n], coming[:n] @ t) if j == 0 else a[j - 1, :n] @ t
+        x = x * np.stack([np.ones(n), e[start[:n] + j]], axis=1)
         scale[j, :n] = x.sum(1)
         a[j, :n] = x / scale[j, :n, None]
-    b = np.ones((k, 2))
-    p = np.zeros(len(u))
-    pairs = np.zeros((2, 2))
-    for j in range(width - 1, -1, -1):
+    b = leaving / (a[length - 1, np.arange(k)] * leaving).sum(1, keepdims=True)
+    for j in range(len(alive) - 1, -1, -1):
         n = alive[j]
         m = a[j, :n] * b[:n]
         p[start[:n] + j] = m[:, 1] / m.sum(1)
+        back = b[:n] * np.stack([np.ones(n), e[start[:n] + j]], axis=1) / scale[j, :n, None]
         if j:
-            back = b[:n] * np.stack([np.ones(n), e[start[:n] + j]], axis=1) / scale[j, :n, None]
             pairs += (a[j - 1, :n].T @ back) * t
             b[:n] = back @ t.T
-    return p, np.log(scale).sum(0), pairs
+        else:
+            pairs += (coming[~lead].T @ back[~lead]) * t
+    np.add.at(logz, doc, np.log(scale).sum(0))
+    return p, logz, pairs
 
 
 def unary_scores(w: np.ndarray, feats: np.ndarray) -> np.ndarray:
@@ -130,7 +152,7 @@ def marginals(model: Crf, data: np.ndarray, s, e, first) -> np.ndarray:
     if not len(s):
         return np.zeros(0)
     u = unary_scores(model.unary, features(data, s, e, first)) + model.bias
-    return forward_backward(u, *_runs(first), model.trans)[0]
+    return forward_backward(u, first, model.trans)[0]
 
 
 def summary(p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +213,8 @@ def fit_crf(sample: list[tuple[int, str]], rounds: int = 30, rate: float = 0.3,
         return none
     feats, doc, first = np.concatenate(feats), np.concatenate(doc), np.concatenate(firsts)
     gold = _label_tokens(feats, doc, y).astype(float)
-    start, length = _runs(first)
     same = np.ones(len(gold), bool)
-    same[start] = False
+    same[first[:-1][np.diff(first) > 0]] = False
     now, prev = gold[same].astype(int), gold[np.flatnonzero(same) - 1].astype(int)
     seen = np.bincount(prev * 2 + now, minlength=4).reshape(2, 2)
     w, bias, trans = np.zeros((1 << BITS) + 1), np.zeros(1), np.zeros((2, 2))
@@ -202,7 +223,7 @@ def fit_crf(sample: list[tuple[int, str]], rounds: int = 30, rate: float = 0.3,
     count = max(1.0, gold.sum())
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, bias, trans)]
     for step in range(1, rounds + 1):
-        p, _, pairs = forward_backward(unary_scores(w, feats) + bias[0], start, length, trans)
+        p, _, pairs = forward_backward(unary_scores(w, feats) + bias[0], first, trans)
         g = (p - gold) / count
         gw = np.zeros(len(w))
         for c in range(feats.shape[1]):
@@ -215,7 +236,7 @@ def fit_crf(sample: list[tuple[int, str]], rounds: int = 30, rate: float = 0.3,
             v *= 0.999
             v += 0.001 * d * d
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
-    p, _, _ = forward_backward(unary_scores(w, feats) + bias[0], start, length, trans)
+    p, _, _ = forward_backward(unary_scores(w, feats) + bias[0], first, trans)
     return Crf(w, float(bias[0]), trans, _fit_score(*summary(p, first), y))
 
 
