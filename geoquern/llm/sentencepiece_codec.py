@@ -22,6 +22,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from itertools import chain
@@ -42,6 +43,7 @@ ZIPF = 100.0
 FILTER_BITS = 18  # a first look by the upper bits of a hash
 CELLS = 1 << 20  # substrings looked up at once
 CACHE_WORDS = 1_000_000
+ALONE = 2048  # characters of a word that is gone through by itself
 CHUNK_CHARS = 2 << 20
 _U = np.uint64
 
@@ -198,6 +200,35 @@ class Model:
             at = at - n
         return np.array(lens), np.array(ids)
 
+    def _viterbi_alone(self, chars: np.ndarray):
+        """As ``_viterbi`` for one long word: only the pieces found are tried, one end after the other."""
+        width = chars.shape[1]
+        best, step, piece = [0.0] + [-math.inf] * width, [0] * (width + 1), [0] * (width + 1)
+        block = max(64, CELLS // (8 * self.longest))
+        for lo in range(0, width, block):
+            hi = min(width, lo + block)
+            first = max(0, lo - self.longest + 1)
+            ends, lengths, scores, ids = [], [], [], []
+            for n, (score, own) in self._lookup(chars, first, hi).items():
+                at = np.flatnonzero(own[0] >= 0)
+                at = at[(at + first + n > lo) & (at + first + n <= hi)]
+                ends.append(at + first + n)
+                lengths.append(np.full(len(at), n))
+                scores.append(score[0, at])
+                ids.append(own[0, at])
+            ends, lengths, scores, ids = map(np.concatenate, (ends, lengths, scores, ids))
+            order = np.lexsort((-lengths, ends))  # ties go to the longest
+            for end, n, score, own in zip(ends[order].tolist(), lengths[order].tolist(), scores[order].tolist(), ids[order].tolist(), strict=True):
+                total = best[end - n] + score
+                if total > best[end]:
+                    best[end], step[end], piece[end] = total, n, own
+        lens, ids, at = [], [], width
+        while at:
+            lens.append(step[at])
+            ids.append(piece[at])
+            at -= step[at]
+        return np.array(lens)[:, None], np.array(ids, np.int32)[:, None]
+
     def encode_words(self, words: list[str]):
         """Ids of (escaped) words, in groups: (indexes of the words, their counts, all their ids)."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -209,7 +240,9 @@ class Model:
             n = int(lengths[order[at]])
             to = min(int(np.searchsorted(lengths[order], n, "right")), at + max(1, CELLS // (n * self.longest)))
             own = order[at:to]
-            lens, ids = self._viterbi(chars[ends[at] - n : ends[to - 1]].reshape(-1, n))
+            if n >= ALONE:  # too long for many to advance together
+                to = at + 1
+            lens, ids = (self._viterbi_alone if n >= ALONE else self._viterbi)(chars[ends[at] - n : ends[to - 1]].reshape(-1, n))
             odd = (ids == self.unknown).any(0) if self.byte_fallback else np.zeros(len(own), bool)
             back = ids.T[:, ::-1]
             kept = back[~odd]
@@ -222,7 +255,7 @@ class Model:
 
     def _bytes(self, word: str, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
         out, at = [], 0
-        for i, n in zip(ids, lens, strict=True):
+        for i, n in zip(ids.tolist(), lens.tolist(), strict=True):
             out += self.bytes[list(word[at : at + n].encode())].tolist() if i == self.unknown else [int(i)]
             at += n
         return np.array(out, np.int32)
