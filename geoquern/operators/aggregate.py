@@ -105,25 +105,32 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, group: str, reverse: s
     return graphs.join(wanted, group).select(group, F.inline(f("_e", "_r")))
 
 
-def bounded_costs(edges: DataFrame, start: int, limit: float, rounds: int | None = None) -> DataFrame:
-    """node, agg_cost of the nodes within ``limit`` of ``start``: rounds of relaxation as joins,
-    for graphs too large for one task, until no cost falls (with ``rounds``: an error if more are
-    needed).  Every round is written to the checkpoint folder."""
+def bounded_costs(edges: DataFrame, start: int, limit: float, rounds: int | None = None, reverse: str | None = None, steps: bool = False) -> DataFrame:
+    """node, agg_cost of the nodes within ``limit`` of ``start``; with ``steps`` also pred, edge and cost of the step that
+    reaches a node (null, -1 and 0 at the start).  ``reverse`` names the column of costs back.
+
+    Rounds of relaxation as joins, for graphs too large for one task, until no cost falls (with ``rounds``: an error if
+    more are needed).  Every round is written to the checkpoint folder."""
     spark = edges.sparkSession
-    arcs = edges.where(F.col("cost") >= 0).groupBy(F.col("source").cast("long").alias("u"), F.col("target").cast("long").alias("v")).agg(F.min("cost").alias("w"))
-    best = spark.range(1).select(F.lit(int(start)).cast("long").alias("node"), F.lit(0.0).alias("agg_cost"))
+    arc = lambda u, v, w: edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"), F.col(w).cast("double").alias("w"), (F.col("id") if "id" in edges.columns else F.lit(0)).cast("long").alias("edge"))
+    arcs = arc("source", "target", "cost")
+    if reverse is not None:
+        arcs = arcs.unionByName(arc("target", "source", reverse))
+    arcs = arcs.where(F.col("w") >= 0).groupBy("u", "v").agg(F.min(F.struct("w", "edge")).alias("arc"))
+    best = spark.range(1).select(F.lit(int(start)).cast("long").alias("node"), F.struct(F.lit(0.0).alias("agg_cost"), F.lit(None).cast("long").alias("pred"), F.lit(-1).cast("long").alias("edge"), F.lit(0.0).alias("cost")).alias("way"))
     front = best
     done = 0
     while not front.isEmpty():
         if done == rounds:
             raise ValueError(f"costs still fall after {rounds} rounds")
         done += 1
-        new = front.join(arcs, front["node"] == arcs["u"]).select(F.col("v").alias("node"), (F.col("agg_cost") + F.col("w")).alias("agg_cost")).where(F.col("agg_cost") <= limit)
-        new = new.groupBy("node").agg(F.min("agg_cost").alias("new_cost"))
-        merged = best.join(new, "node", "full").select("node", F.col("agg_cost").alias("old"), F.least(F.coalesce("agg_cost", "new_cost"), F.coalesce("new_cost", "agg_cost")).alias("agg_cost")).checkpoint()
-        front = merged.where(F.col("old").isNull() | (F.col("agg_cost") < F.col("old"))).select("node", "agg_cost")
-        best = merged.select("node", "agg_cost")
-    return best
+        way = F.struct((F.col("way.agg_cost") + F.col("arc.w")).alias("agg_cost"), F.col("node").alias("pred"), F.col("arc.edge").alias("edge"), F.col("arc.w").alias("cost"))
+        new = front.join(arcs, front["node"] == arcs["u"]).select(F.col("v").alias("to"), way.alias("new")).where(F.col("new.agg_cost") <= limit).groupBy("to").agg(F.min("new").alias("new"))
+        falls = F.col("way").isNull() | (F.col("new.agg_cost") < F.col("way.agg_cost"))
+        merged = best.join(new, F.col("node") == F.col("to"), "full").select(F.coalesce("node", "to").alias("node"), F.coalesce(falls, F.lit(False)).alias("fell"), F.when(falls, F.col("new")).otherwise(F.col("way")).alias("way")).checkpoint()
+        front, best = merged.where("fell").select("node", "way"), merged.select("node", "way")
+    out = best.select("node", "way.agg_cost", "way.pred", "way.edge", "way.cost")
+    return out if steps else out.select("node", "agg_cost")
 
 
 __all__ = ["bounded_costs", "dissolve", "extent", "extents", "shortest_paths", "tiles"]

@@ -324,3 +324,23 @@ def test_edge_lists_and_tiles(spark, tmp_path):
     readers.write_tiles(tiles, str(tmp_path / "tiles"), ["z", "x", "y"])
     back = spark.read.parquet(str(tmp_path / "tiles"))
     assert back.count() == 20 and back.where("x = 2 AND y = 3").first().tile == b"17"
+
+
+def test_bounded_costs_with_steps(spark, tmp_path):
+    """Costs both ways and the steps that reach the nodes, against the search in one task."""
+    import random
+
+    from geoquern.core import route
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(30), rng.randrange(30), rng.choice([-1.0, 0.0, 1.5, 2.25, rng.random()]), rng.choice([-1.0, 0.5, rng.random() * 3])) for i in range(90)]
+    edges = spark.createDataFrame(rows, "id long, source long, target long, cost double, back double")
+    out = agg.bounded_costs(edges, 3, 4.0, reverse="back", steps=True).collect()
+    want = {r[4]: r[7] for r in route.driving_distance(rows, 3, 4.0)}
+    assert {r.node: r.agg_cost for r in out} == pytest.approx(want)
+    known = {(i, s, t, c) for i, s, t, c, _ in rows} | {(i, t, s, b) for i, s, t, _, b in rows}
+    cost = {r.node: r.agg_cost for r in out}
+    for r in out:
+        assert (r.node == 3 and r.pred is None and r.edge == -1) or ((r.edge, r.pred, r.node, r.cost) in known and cost[r.pred] + r.cost == pytest.approx(r.agg_cost))
