@@ -60,6 +60,7 @@ def test_encoding_is_the_best_path():
 
     random.seed(3)
     words = ["▁" + "".join(random.choice("theringandou éß日x") for _ in range(random.randint(1, 24))).replace(" ", "") for _ in range(200)] + ["▁▁▁", "x" * 500]
+    words += ["".join(random.choice("thering▁日é") for _ in range(n)) for n in (130, 700, 2047, 2048, 5000)]  # with unknown characters beyond the 127th; some go alone
     got = {}
     for own, n, flat in m.encode_words(words):
         at = 0
@@ -79,6 +80,49 @@ def test_encoding_round_trip(spark, corpus, edge, empty):
     assert sentencepiece_codec.encode(edge).where("ids IS NULL").count() == 1
 
 
+#: Texts of several MB that are hard on one operator or another.
+RUNS = {1: " " * 3_000_000, 2: "a" * 2_000_000, 3: "漢字仮名" * 300_000, 4: "-" * 2_000_000, 5: "one two three four five six " * 120_000, 6: "x\n" * 1_000_000}
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    return table(spark, list(RUNS.items())).cache()
+
+
+def test_encoding_of_long_runs(long_texts):
+    out = {r.doc_id: r for r in sentencepiece_codec.encode(long_texts, check=True).select("doc_id", "n_tokens", "round_trip").collect()}
+    assert len(out) == len(RUNS) and all(r.round_trip and r.n_tokens > 1000 for r in out.values())
+
+
+def test_dedup_of_long_runs(long_texts):
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(long_texts, with_text=False).collect()}
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in RUNS.items()}
+    assert {i: n for i, (n, _) in got.items()} == words
+    # of a passage of six words all windows but the first six stand earlier too; of one word all but the first
+    assert got[5][1] == words[5] - 6 and got[6][1] == words[6] - 1 and got[1] == (0, 0) and got[2] == (1, 0)
+
+
+def test_near_copies_of_long_texts(spark):
+    random.seed(12)
+    words = [f"w{random.randrange(50_000)}" for _ in range(400_000)]
+    near = list(words)
+    for _ in range(4000):
+        near[random.randrange(len(near))] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:200_000])), (4, "a" * 2_000_000), (5, " " * 2_000_000), (6, "A" * 2_000_000)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_classes(table(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 1), 5: (5, 0), 6: (4, 1)}
+
+
+def test_scores_of_long_texts(long_texts):
+    m = quality.fit_ordinal([(0, "bad " * 9), (1, "one two three " * 3), (0, "- - -"), (1, "four five six")])
+    scored = {r.doc_id: r.tail_probability for r in quality.score_quality(long_texts, m).collect()}
+    assert set(scored) == set(RUNS) and all(0 <= p <= 1 for p in scored.values()) and scored[5] > 0.5
+    crf = toxicity.fit_crf([(1, f"vile {x} word") for x in "abcdef"] + [(0, f"fine {x} word") for x in "abcdefghij"])
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(long_texts, crf).select("score").collect())
+    sizes = {r.doc_id: r.size for r in sharding.shard_documents(long_texts, 3).collect()}
+    assert sizes == {i: len(t.encode()) + 1 for i, t in RUNS.items()}
+
+
 # -- substring dedup -------------------------------------------------------
 def brute_dedup(rows, width):
     first, out = {}, {}
@@ -235,6 +279,88 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([(r.tail_probability >= 0.5) == (r.quality == 1) for r in held]) > 0.97
 
 
+def brute_fit(sample, rounds=120, rate=0.1, l2=1e-4):
+    """The same regression with plain loops over words: full-batch Adam on the mean log loss of the grades."""
+    grades = sorted({y for y, _ in sample})
+    k, bags = len(grades), []
+    import pyarrow as pa
+
+    from geoquern.llm._text import utf8
+
+    for _, t in sample:
+        bins, _ = quality.features(*utf8(pa.array([t])))
+        bags.append({b: float(np.float32(quality.SCALE * n / len(bins))) for b, n in Counter(bins.reshape(-1).tolist()).items()})
+    share = Counter(y for y, _ in sample)
+    used = sorted({b for bag in bags for b in bag})
+    p = {b: 0.0 for b in used} | {("t", j): -(k - 2) / 2 if j == 0 else 0.0 for j in range(k - 1)}
+    moment = {key: [0.0, 0.0] for key in p}
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    for step in range(1, rounds + 1):
+        cuts = [p["t", 0]]
+        for j in range(1, k - 1):
+            cuts.append(cuts[-1] + np.exp(p["t", j]))
+        grad = {key: l2 * v if not isinstance(key, tuple) else 0.0 for key, v in p.items()}
+        gcut = [0.0] * (k - 1)
+        for (y, _), bag in zip(sample, bags, strict=True):
+            j = grades.index(y)
+            z = sum(p[b] * v for b, v in bag.items())
+            up, down = (sig(cuts[j] - z) if j < k - 1 else 1.0), (sig(cuts[j - 1] - z) if j else 0.0)
+            weight = 1 / (k * share[y])
+            prob = max(up - down, 1e-12)
+            for b, v in bag.items():
+                grad[b] += weight * v * (up * (1 - up) - down * (1 - down)) / prob
+            if j < k - 1:
+                gcut[j] -= weight * up * (1 - up) / prob
+            if j:
+                gcut[j - 1] += weight * down * (1 - down) / prob
+        for j in range(k - 1):
+            grad["t", j] = sum(gcut[j:]) * (np.exp(p["t", j]) if j else 1)
+        for key, g in grad.items():
+            m = moment[key]
+            m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.999 * m[1] + 0.001 * g * g
+            p[key] -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
+    cuts = [p["t", 0]]
+    for j in range(1, k - 1):
+        cuts.append(cuts[-1] + np.exp(p["t", j]))
+    return grades, p, cuts
+
+
+@pytest.mark.parametrize("grades", [2, 3])
+def test_quality_matches_brute_force(spark, grades):
+    """Fitted weights and thresholds, and the scores of all texts, against plain loops."""
+    random.seed(grades)
+    vocabulary = [[f"{c}{g}" for c in "abcdef"] for g in range(grades)]
+    sample = [(g, " ".join(random.choice(vocabulary[random.choice([g, g, random.randrange(grades)])]) for _ in range(12))) for g in range(grades) for _ in range(14)]
+    own, p, cuts = brute_fit(sample)
+    m = quality.fit_ordinal(sample)
+    assert m.grades == tuple(own) and np.allclose(m.thresholds, cuts, atol=1e-6)
+    assert all(m.weights[b] == pytest.approx(w, abs=1e-6) for b, w in p.items() if not isinstance(b, tuple))
+    rows = [*enumerate(t for _, t in sample), (900, None), (901, ""), (902, "words never seen")]
+    got = {r.doc_id: r for r in quality.score_quality(table(spark, rows), m).collect()}
+    import pyarrow as pa
+
+    from geoquern.llm._text import utf8
+
+    for i, t in rows:
+        bins, _ = quality.features(*utf8(pa.array([t or ""])))
+        z = quality.SCALE * sum(p.get(b, 0.0) for b in bins.reshape(-1).tolist()) / max(1, len(bins))
+        tails = [1 / (1 + np.exp(c - z)) for c in cuts]
+        assert got[i].tail_probability == pytest.approx(tails[-1], abs=1e-5) and got[i].expected_grade == pytest.approx(sum(tails), abs=1e-5)
+    kept = {r.doc_id for r in quality.select_quality(table(spark, rows), m).collect()}
+    assert kept == {i for i in got if got[i].tail_probability >= 0.5}
+
+
+def test_training_rows_have_a_text(spark):
+    """Rows without a text that may be trained on take no place; an id with several texts gives no more rows than the bound."""
+    from geoquern.llm._sample import labelled_sample
+
+    docs = table(spark, [(i, f"text {i}") for i in range(50, 60)] + [(1, "x" * 50_000), (2, None)] + [(7, f"version {k}") for k in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    sample = labelled_sample(docs, labels, "quality", "doc_id", "text", 5, 12_000)
+    assert Counter(y for y, _ in sample) == {0: 5, 1: 5} and all(len(t) < 100 for _, t in sample)
+    assert labelled_sample(docs, labels.limit(0), "quality", "doc_id", "text", 5, 12_000) == []
+
+
 def test_ordinal_thresholds_with_three_grades(spark, edge, empty):
     random.seed(2)
     sample = [(y, " ".join(random.choice([f"g{y}", f"g{min(2, y + 1)}", "and", "the"]) for _ in range(40))) for y in (0, 1, 2) for _ in range(60)]
@@ -285,6 +411,29 @@ def test_sharding_moves_little_and_edges(spark, corpus, edge, empty):
     assert sharding.shard_documents(empty, 3).count() == 0
 
 
+def test_bounded_placement_moves_little(spark):
+    """From 7 to 8 shards with bounds: few rows beyond the new shard's share move, and with some slack hardly any."""
+    df = table(spark, [(i, f"text {i}") for i in range(6000)])
+    for slack, most in ((0.0, 0.45), (0.25, 0.25)):
+        a, b = ({r.doc_id: r.shard for r in sharding.shard_documents(df, n, slack=slack).collect()} for n in (7, 8))
+        moved = sum(a[i] != b[i] for i in a) / len(a)
+        assert 1 / 9 < moved < most
+        counts = Counter(b.values())
+        assert max(counts.values()) <= (1 + slack) * 6000 / 8 + 1
+
+
+def test_sharding_of_many_equal_rows(spark, monkeypatch):
+    """Equal rows are counted, spread in pieces and numbered without gaps; parts of arcs change nothing."""
+    rows = [(7, "a hot text")] * 300 + [(None, None)] * 20 + [(i, f"text {i}") for i in range(200)]
+    want = sorted(map(tuple, sharding.shard_documents(table(spark, rows), 5).collect()), key=repr)
+    monkeypatch.setattr(sharding, "PIECE", 16)
+    monkeypatch.setattr(sharding, "PART_ROWS", 1 / 64)
+    out = sharding.shard_documents(table(spark, rows), 5).collect()
+    assert sorted(map(tuple, out), key=repr) == want and len(out) == len(rows)
+    for s in range(5):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(104))
+
+
 # -- licences --------------------------------------------------------------
 def brute_scan(text):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -508,21 +657,76 @@ def test_classes_of_rows_that_share_an_id(spark):
 
 
 # -- toxicity --------------------------------------------------------------
-def test_forward_backward_matches_enumeration():
+@pytest.mark.parametrize("run", [128, 3, 1])
+def test_forward_backward_matches_enumeration(run, monkeypatch):
+    """Marginals, log-partitions, transitions and (by differences) the gradient, also where a document takes several runs."""
     import itertools
 
+    monkeypatch.setattr(toxicity, "RUN", run)
     rng = np.random.default_rng(1)
-    u, trans = rng.normal(size=7), rng.normal(size=(2, 2))
-    p, logz, pairs = toxicity.forward_backward(u, np.array([0, 4]), np.array([4, 3]), trans)
-    for start, n in ((0, 4), (4, 3)):
-        z, m = 0.0, np.zeros(n)
-        for tags in itertools.product((0, 1), repeat=n):
-            w = np.exp(sum(u[start + k] for k in range(n) if tags[k]) + sum(trans[a, b] for a, b in itertools.pairwise(tags)))
+    u, trans = rng.normal(size=14), rng.normal(size=(2, 2))
+    first = np.array([0, 4, 4, 7, 14])
+    p, logz, pairs = toxicity.forward_backward(u, first, trans)
+    seen = np.zeros((2, 2))
+    for d, (start, end) in enumerate(itertools.pairwise(first)):
+        z, m, own = 0.0, np.zeros(end - start), np.zeros((2, 2))
+        for tags in itertools.product((0, 1), repeat=end - start):
+            w = np.exp(sum(u[start + k] for k in range(end - start) if tags[k]) + sum(trans[a, b] for a, b in itertools.pairwise(tags)))
             z += w
             m += w * np.array(tags)
-        assert np.allclose(p[start : start + n], m / z)
-    assert pairs.sum() == pytest.approx(5)
-    assert np.isfinite(logz).all()
+            for a, b in itertools.pairwise(tags):
+                own[a, b] += w
+        assert np.allclose(p[start:end], m / z) and logz[d] == pytest.approx(np.log(z) if end > start else 0)
+        seen += own / z
+    assert np.allclose(pairs, seen)
+    total = lambda u, t: toxicity.forward_backward(u, first, t)[1].sum()
+    for k in range(14):  # the derivative of the log-partition by a score is its marginal
+        step = np.eye(14)[k] * 1e-5
+        assert (total(u + step, trans) - total(u - step, trans)) / 2e-5 == pytest.approx(p[k], abs=1e-6)
+    for a, b in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[a, b] = 1e-5
+        assert (total(u, trans + step) - total(u, trans - step)) / 2e-5 == pytest.approx(pairs[a, b], abs=1e-6)
+
+
+def test_toxic_tokens_of_the_sample():
+    """The fewest types that explain the toxic texts mark their tokens, by a search over all pairs of words."""
+    import itertools
+
+    texts = [(1, f"bad {a} word here") for a in "uvw"] + [(1, f"so {a} vile it is") for a in "xyz"] + [(0, f"good {a} words here so it is") for a in "uvwxyz" for _ in range(10)]
+    column = [t for _, t in texts]
+    y = np.array([v for v, _ in texts])
+    held = [set(t.split()) for t in column]
+    best = min(n for n in range(1, 4) for c in itertools.combinations({w for h in held for w in h}, n) if all(bool(h & set(c)) == bool(v) for h, v in zip(held, y, strict=True)))
+    assert best == 2
+    crf = toxicity.fit_crf(texts)
+    import pyarrow as pa
+
+    from geoquern.llm._text import chunks, lower_ascii
+
+    for _, _, data, offsets in chunks(None, pa.array(column)):
+        s, e, first = toxicity.tokens(lower_ascii(data), offsets)
+        p = toxicity.marginals(crf, lower_ascii(data), s, e, first)
+        words = [bytes(data[a:b]).decode() for a, b in zip(s, e, strict=True)]
+    assert {w for w, q in zip(words, p, strict=True) if q >= 0.5} in ({"bad", "vile"}, {"word", "vile"}, {"bad", "word", "vile"})
+
+
+def test_toxicity_query_holds_out_by_checksum(spark, data, monkeypatch):
+    """Labels of held-out rows are not read: turned round, they change no score."""
+    asked = []
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    held = {r.doc_id for r in docs.select("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    turned = labels.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
+
+    def run(table):
+        monkeypatch.setattr(queries, "_table", lambda s, d, name: table if name == "labels" else docs)
+        asked.append(1)
+        return sorted(map(tuple, queries.op8_toxicity(spark, data).collect()))
+
+    out = run(labels)
+    assert {i for i, h, _, _ in out if h} == held and all(p == (s >= 0.3) for _, _, s, p in out)
+    assert run(turned) == out and len(asked) == 2
 
 
 def test_toxicity_on_held_out_rows(spark, edge, empty):
@@ -651,3 +855,65 @@ def test_packed_values_come_back():
     for top, n in ((1 << 44, 50_000), (1 << 52, 300), (1 << 60, 5), (1 << 20, 1), (10, 0)):
         v = np.sort(rng.integers(0, top, n).astype(np.uint64))
         assert (substring_dedup.unpack_sorted(substring_dedup.pack_sorted(v)) == v).all()
+
+
+#: Rows that a stage of the pipeline must bear: repeated and absent ids, several texts of an id, nulls, very long texts.
+STAGE_ROWS = [(1, "a text of its own with more than five words"), (1, "a text of its own with more than five words"), (1, "another text under the same id, not a copy"), (None, "no id here but words enough to count"), (None, None), (None, ""), (2, None), (3, ""), (4, " \n\t "),
+              (5, LONG), (5, LONG + " end"), (6, "naïve café 日本 \U0001f600 ▁"), (7, "z" * 200_000), (8, "short"), (8, "short")]
+
+
+def stage_documents(spark, rows):
+    return spark.createDataFrame([(i, t, None if t is None else "en", "s", None if t is None else len(t), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string")
+
+
+@pytest.mark.parametrize("name", ["quality classifier", "n-gram Jaccard join", "substring dedup", "benchmark decontamination", "SentencePiece encoding"])
+def test_stage_edges(spark, data, name):
+    import corpus_pipeline as p
+
+    stage = dict(p.STAGES)[name]
+    docs = stage_documents(spark, STAGE_ROWS)
+    out = stage(spark, docs, data)
+    rows = [r.asDict() for r in out.collect()]
+    assert len(rows) <= len(STAGE_ROWS)
+    pairs = Counter((r["doc_id"], r.get("text")) for r in rows)
+    if name == "SentencePiece encoding":
+        assert len(rows) == len(STAGE_ROWS) and all(r["round_trip"] or r["ids"] is None for r in rows)
+    else:
+        assert out.columns == docs.columns
+    given = Counter(STAGE_ROWS)
+    if name == "quality classifier":
+        assert all(given[x] == n for x, n in pairs.items())  # equal texts share their fate
+    elif name == "n-gram Jaccard join":
+        want = Counter(dict.fromkeys(given, 1)) | Counter({x: n for x, n in given.items() if not re.search(r"\w", x[1] or "")})
+        near = [(5, LONG), (5, LONG + " end")]  # near copies under one id: one of them stays
+        assert sum(pairs.pop(x, 0) for x in near) == 1
+        assert Counter({x: n for x, n in want.items() if x not in near}) == pairs
+    elif name == "substring dedup":
+        assert pairs[(1, "another text under the same id, not a copy")] == 1 and pairs[(None, None)] == 1 and pairs[(7, "z" * 200_000)] == 1
+        assert sum(n for (i, _), n in pairs.items() if i == 5) in (1, 2) and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    elif name == "benchmark decontamination":
+        assert pairs == given
+    assert stage(spark, docs.limit(0), data).count() == 0
+
+
+def test_pipeline_runs_to_the_end(spark, data):
+    """run() as registered: every row left is a document of the table, once, and comes back from its ids."""
+    import corpus_pipeline as p
+
+    out = p.run(spark, data)
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    known = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()}
+    assert ids and len(ids) == len(set(ids)) and set(ids) <= known and out.where("NOT round_trip").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
+def test_queries_without_sql_cover_the_table(spark, data, name):
+    df = queries.queries()[name](spark, data)
+    rows = df.collect()
+    known = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()}
+    if name == "op3_decontamination":
+        assert {r.doc_id for r in rows} <= known and rows
+    elif name == "op9_token_counts":
+        assert sum(r.n_docs for r in rows) == len(known)
+    else:
+        assert sorted(r.doc_id for r in rows) == sorted(known)
