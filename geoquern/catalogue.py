@@ -361,13 +361,6 @@ def geo_mvt_points(spark, d):
     return _rect_table(spark, d).withColumn("g", g).select("k", call("ST_X", "g").cast("int").alias("px"), call("ST_Y", "g").cast("int").alias("py"))
 
 
-@query()
-def geo_mvt_tiles(spark, d):
-    bounds = F.lit(fold("ST_MakeEnvelope", -150.0, -70.0, 150.0, 70.0))
-    r = _rect_table(spark, d).withColumn("g", call("ST_AsMVTGeom", _rect(), bounds))
-    return agg.tiles(r, ["p_brand"], "g", ["k"], "k", name="parts").select("p_brand", F.octet_length("tile").alias("bytes"))
-
-
 # -- hulls and tessellations -----------------------------------------------
 @query(f"SELECT k, (x1 - x0) * (y1 - y0) AS hull, (x1 - x0) * (y1 - y0) AS oriented, 2 AS triangles, 4 AS voronoi, true AS inside, 4 AS corners, (x1 - x0) * (y1 - y0) AS parts FROM {SQL_RECT}")
 def geo_hulls(spark, d):

@@ -10,6 +10,7 @@ from .catalogue import _COSTS, _ROUNDS, _SQL, SQL_RECT, _edges, _rect, _rect_tab
 from .functions import native
 from .functions.register import aggregate, call, register_all
 from .index import quadtree
+from .operators import aggregate as agg
 from .operators import frame
 from .plans.rewrite import fold
 from .streaming import geofence
@@ -58,6 +59,15 @@ def geo_tile_features(spark, d) -> DataFrame:
     return out.select("p_brand", F.round(call("ST_XMin", F.col("e")), 6).alias("x0"), F.round(call("ST_YMax", F.col("e")), 6).alias("y1"), _tile_features(F.col("tile")).alias("features"))
 
 
+@query(f"SELECT p_brand, count(*) AS features, true AS sized FROM {SQL_RECT} GROUP BY 1")
+def geo_mvt_tiles(spark, d) -> DataFrame:
+    """Tiles by the operator, features in order; read back."""
+    bounds = F.lit(fold("ST_MakeEnvelope", -150.0, -70.0, 157.0, 75.0))
+    r = _rect_table(spark, d).withColumn("g", call("ST_AsMVTGeom", _rect(), bounds))
+    out = agg.tiles(r, ["p_brand"], "g", ["k"], "k", name="parts")
+    return out.select("p_brand", _tile_features(F.col("tile")).alias("features"), (F.octet_length("tile") > 20 * _tile_features(F.col("tile"))).alias("sized"))
+
+
 def _tile_features(tile):
     """Number of features of a tile's layers, from the bytes alone (field 3: layers; in a layer field 2: features)."""
 
