@@ -235,7 +235,7 @@ def _candidates(width: int, min_words: int, buckets: int):
                     low = np.minimum(low, grams[w + j])
                 parts.append((low, window_hashes(h, w, min_words), (window_hashes(h, w, min_words, 2) >> _U(32)).astype(np.uint32), ids[at + doc], vers[at + doc], pos.astype(np.int32)))
                 size += len(w) * 40
-                if size >= PACK_BYTES * 2:
+                if size >= PACK_BYTES:
                     yield flush(parts)
                     parts, size = [], 0
         if parts:
