@@ -38,7 +38,7 @@ RUN_HITS = 1 << 20  # hits that are counted at a time
 SEND_ROWS = 1 << 15  # matches of a record batch
 _U = np.uint64
 _BITS = 20  # of the first look
-SCHEMA = "_id long, _h long, item_id long, start int, end int, edits int"
+SCHEMA = "_id long, item_id long, start int, end int, edits int"
 
 
 def normal(data: np.ndarray) -> np.ndarray:
@@ -273,27 +273,31 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
         yield items
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per match: _id, _h (a hash of the text), item_id, start, end, edits."""
+def _checked(rate: float) -> None:
     if not 0 <= rate < 1 / Q:
         raise ValueError(f"rate must be in [0, {1 / Q})")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per match: _id, item_id, start, end, edits."""
+    _checked(rate)
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").isNotNull())
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").isNotNull())
     out = None
     for items in item_blocks(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(Index(items, rate))
 
         def run(batches, shared=shared):
             index, rows = shared.value, []
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            send = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_id", "_h", "item_id", "start", "end", "edits"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            send = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_id", "item_id", "start", "end", "edits"])
             for batch in batches:
                 for at, _, data, offsets in chunks(None, batch.column("_text")):
                     last, upto = -1, None
                     for d, i, a, b, edits in sorted(scan(index, data, offsets)):
                         if d != last:
                             last, upto = d, np.concatenate([[0], np.cumsum(data[offsets[d] : offsets[d + 1]] & 0xC0 != 0x80)])  # characters before each byte
-                        rows.append((batch.column("_id")[at + d].as_py(), batch.column("_h")[at + d].as_py(), index.ids[i], int(upto[a]), int(upto[b]), edits))
+                        rows.append((batch.column("_id")[at + d].as_py(), index.ids[i], int(upto[a]), int(upto[b]), edits))
                         if len(rows) >= SEND_ROWS:
                             yield send(rows)
                             rows = []
@@ -309,14 +313,27 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per match: id, item_id, start and end (characters of the text), edits."""
-    return _matches(docs, benchmark, rate, id_col, text_col, item_col, item_text_col).drop("_h").withColumnRenamed("_id", id_col)
+    return _matches(docs, benchmark, rate, id_col, text_col, item_col, item_text_col).withColumnRenamed("_id", id_col)
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text has no match, whatever other rows share their id.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose own text has no match, whatever other rows share their id."""
-    own, text_hash = "__bad_id", "__bad_hash"  # names that no column of docs has
-    while {own, text_hash} & set(docs.columns):
-        own, text_hash = own + "_", text_hash + "_"
-    bad = _matches(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("_id").alias(own), F.col("_h").alias(text_hash)).distinct()
-    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(text_hash))
-    return docs.join(bad.hint("shuffle_hash"), same, "left_anti")
+    Each block of items filters the rows where they are read; nothing is shuffled, and the documents are read once."""
+    _checked(rate)
+    at, schema = docs.columns.index(text_col), docs.schema
+    for items in item_blocks(benchmark, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(items, rate))
+
+        def run(batches, shared=shared):
+            index = shared.value
+            for batch in batches:
+                bad = np.zeros(batch.num_rows, bool)
+                column = batch.column(at)
+                for lo, _, data, offsets in chunks(None, column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string())):
+                    for match in scan(index, data, offsets):
+                        bad[lo + match[0]] = True
+                yield batch.filter(pa.array(~bad)) if bad.any() else batch
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
