@@ -344,3 +344,13 @@ def test_bounded_costs_with_steps(spark, tmp_path):
     cost = {r.node: r.agg_cost for r in out}
     for r in out:
         assert (r.node == 3 and r.pred is None and r.edge == -1) or ((r.edge, r.pred, r.node, r.cost) in known and cost[r.pred] + r.cost == pytest.approx(r.agg_cost))
+
+
+def test_rows_of_vertices_and_pieces(spark):
+    df = spark.createDataFrame([(1, "LINESTRING(0 0,1 1,2 0)"), (2, "POLYGON((0 0,8 0,8 8,4 1,0 8,0 0))"), (3, None)], "id int, t string").withColumn("geom", call("ST_GeomFromText", "t"))
+    got = frame.dump_points(df.where("id <> 2")).select("id", "path", call("ST_AsText", "geom").alias("p")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "POINT(0 0)"), (1, 2, "POINT(1 1)"), (1, 3, "POINT(2 0)")]
+    pieces = frame.subdivide(df.where("id > 1"), 5)
+    assert pieces.agg(F.sum(call("ST_Area", "geom"))).first()[0] == pytest.approx(36.0) and pieces.where(call("ST_NPoints", "geom") > 5).count() == 0
+    plan = pieces._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
