@@ -6,6 +6,11 @@ hashes are deterministic across workers and runs (no Python ``hash``).
 
 from __future__ import annotations
 
+import ctypes
+import inspect
+import os
+import time
+
 import numpy as np
 import pyarrow as pa
 
@@ -128,6 +133,41 @@ def chunks(ids, column: pa.Array, size: int = CHUNK_BYTES):
         at = to
 
 
+_TRIMMED = [0.0]
+
+
+def release(least: float = 0.0) -> None:
+    """Gives free memory back to the system, unless that was done less than ``least`` seconds ago: a Python worker lives on
+    between tasks and would keep what its largest one took."""
+    now = time.monotonic()
+    if now - _TRIMMED[0] < least:
+        return
+    _TRIMMED[0] = now
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim is not None:
+        trim(0)
+
+
+def tidied(f):
+    """A function for ``mapInArrow`` or ``applyInArrow`` that releases memory when it has ended."""
+
+    def through(batches):
+        try:
+            yield from batches
+        finally:
+            release()
+
+    def run(x):
+        out = f(x)
+        if inspect.isgenerator(out):
+            return through(out)
+        release(0.5)
+        return out
+
+    return run
+
+
 def spark_partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import NOT_SPACE, chunks, lower_ascii, mix
+from ._text import NOT_SPACE, chunks, lower_ascii, mix, tidied
 
 Q = 10
 RATE = 0.08
@@ -304,7 +304,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col:
             if rows:
                 yield send(rows)
 
-        part = own.mapInArrow(run, SCHEMA)
+        part = own.mapInArrow(tidied(run), SCHEMA)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], SCHEMA)
@@ -335,5 +335,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, tex
                         bad[lo + match[0]] = True
                 yield batch.filter(pa.array(~bad)) if bad.any() else batch
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidied(run), schema)
     return docs

@@ -37,7 +37,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import ensure_checkpoint_dir, spark_partitions
+from ._text import ensure_checkpoint_dir, spark_partitions, tidied
 
 LEVEL_ROWS = 1 << 18  # vectors of the first level
 TASK_VALUES = 1 << 22  # components of the candidates that a task holds
@@ -170,7 +170,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int =
         c = part.select("vec_id", "v", none.alias("own"), none.alias("floor"), F.lit(False).alias("asked"), place(1, parts).alias("part"), every(blocks).alias("block"))
         q = live.select("vec_id", "v", "own", "floor", F.lit(True).alias("asked"), every(parts).alias("part"), place(2, blocks).alias("block"))
         met = c.unionByName(q).withColumn("dim", F.size("v")).where("dim > 0")
-        found = met.groupBy("part", "block", "dim").applyInArrow(_search(k), "query_id long, own long, vec_id long, score long")
+        found = met.groupBy("part", "block", "dim").applyInArrow(tidied(_search(k)), "query_id long, own long, vec_id long, score long")
         if best is not None:
             found = found.unionByName(best.drop("rank"))
         best = found.withColumn("rank", rank).where(F.col("rank") <= k)

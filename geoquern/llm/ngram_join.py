@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, chunks, ensure_checkpoint_dir, lower_ascii, mix, span_hashes, windows, window_hashes, word_spans
+from ._text import ALNUM, chunks, ensure_checkpoint_dir, lower_ascii, mix, span_hashes, tidied, window_hashes, windows, word_spans
 
 NULL_ID = -(1 << 63)
 LONE = -(1 << 63)  # the dense group of nodes that are in none
@@ -324,7 +324,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _buckets(nodes: DataFrame, positions: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(members of small buckets, small buckets of the first level by node as a bit mask of positions, members of whole buckets)."""
-    rows = nodes.select("rep", "_sig").mapInArrow(_roots(positions), "path long, pos int, rep long")
+    rows = nodes.select("rep", "_sig").mapInArrow(tidied(_roots(positions)), "path long, pos int, rep long")
     count = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = rows.join(count, "path").checkpoint()
     small = live.where(F.col("n") <= LIMIT)
@@ -335,7 +335,7 @@ def _buckets(nodes: DataFrame, positions: int) -> tuple[DataFrame, DataFrame, Da
             break
         dense = large
         if depth < MAX_DEPTH - 1:
-            kids = large.select("path", "n", "rep").join(sigs, "rep").select("path", "n", "rep", "_sig").mapInArrow(_children, "path long, parent long, parent_n long, pos int, rep long")
+            kids = large.select("path", "n", "rep").join(sigs, "rep").select("path", "n", "rep", "_sig").mapInArrow(tidied(_children), "path long, parent long, parent_n long, pos int, rep long")
             per = kids.groupBy("path").agg(F.first("parent").alias("parent"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
             biggest = per.groupBy("parent").agg(F.max("n").alias("top"))
             keeps = large.select("path", "n").distinct().join(biggest, F.col("path") == F.col("parent"), "left").where(F.coalesce("top", F.lit(0)) >= 0.5 * F.col("n")).select("path").checkpoint()
@@ -482,12 +482,12 @@ def _dense_links(groups: DataFrame, members: DataFrame, width: int, threshold: f
     each = lambda size: F.explode(F.sequence(F.lit(0), parts(size) - 1)).alias("part")
     sized = members.join(count, "dense")
     drawn = sized.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("m") / SAMPLE))) == 0)
-    centres = drawn.select("dense", "_z").groupBy("dense").applyInArrow(_centre(width), "dense long, centre binary")
+    centres = drawn.select("dense", "_z").groupBy("dense").applyInArrow(tidied(_centre(width)), "dense long, centre binary")
     # a group of which no member was drawn has the empty centre
     centres = count.join(centres, "dense", "left").select("dense", each(TEXTS), F.coalesce("centre", F.lit(b"")).alias("_z"))
     none = F.lit(None).cast("long")
     meet = sized.select("dense", part(TEXTS, 2).alias("part"), "rep", "copies", "_z").unionByName(centres.select("dense", "part", none.alias("rep"), none.alias("copies"), "_z"))
-    diffs = meet.groupBy("dense", "part").applyInArrow(_differences(width, threshold), "dense long, rep long, copies long, size long, lack long, more long, bin int, diff binary").checkpoint()
+    diffs = meet.groupBy("dense", "part").applyInArrow(tidied(_differences(width, threshold)), "dense long, rep long, copies long, size long, lack long, more long, bin int, diff binary").checkpoint()
     # pairs that costs alone decide
     sure = diffs.where(F.col("bin") <= BINS).select("dense", "rep", "copies", "bin")
     costs = sure.groupBy("dense", "bin").agg(F.sum("copies").alias("n"), F.min("rep").alias("rep"))
@@ -501,7 +501,7 @@ def _dense_links(groups: DataFrame, members: DataFrame, width: int, threshold: f
     own = part(BLOCK, 3)
     pairs = F.transform(F.sequence(F.lit(0), parts(BLOCK) - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
     blocks = diffs.where(F.length("diff") > 0).join(count, "dense").withColumn("own", own).withColumn("b", F.explode(pairs)).select("dense", "b.lo", "b.hi", "own", *(c for c in diffs.columns if c != "dense"))
-    return star.unionByName(blocks.groupBy("dense", "lo", "hi").applyInArrow(_compare(threshold), FOUND))
+    return star.unionByName(blocks.groupBy("dense", "lo", "hi").applyInArrow(tidied(_compare(threshold)), FOUND))
 
 
 FOUND = "rep long, root long, links long, peers array<struct<rep:long,copies:long>>"
@@ -514,26 +514,26 @@ def _classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, target_rec
     ensure_checkpoint_dir(docs.sparkSession)
     positions = BRANCHES * runs_for(threshold, target_recall)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"), F.col(text_col).cast("string").alias("_text"))
-    sketch = own.mapInArrow(_sketch(width), "_id long, _h long, _k1 long, _k2 long, _n long, _sig binary").checkpoint()
+    sketch = own.mapInArrow(tidied(_sketch(width)), "_id long, _h long, _k1 long, _k2 long, _n long, _sig binary").checkpoint()
     nodes = sketch.where("_n > 0").groupBy("_k1", "_k2", "_n").agg(F.min(F.struct("_id", "_h")).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("_sig").alias("_sig"))
     # a node is named by a number of its own, as rows of several nodes may share an id; the checkpoint holds it fast
     nodes = nodes.select("_k1", "_k2", "_n", F.monotonically_increasing_id().alias("rep"), F.col("head._id").alias("low"), F.col("head._h").alias("low_h"), "copies", "_sig").checkpoint()
     members, mask, whole = _buckets(nodes, positions)
-    texts = own.where(F.col("_text").isNotNull()).mapInArrow(_zip, "_id long, _h long, _z binary")
+    texts = own.where(F.col("_text").isNotNull()).mapInArrow(tidied(_zip), "_id long, _h long, _z binary")
     lone = F.lit(LONE)
     groups = None if whole is None else _dense_groups(whole)
     marked = nodes.withColumn("dense", lone) if groups is None else nodes.join(groups, "rep", "left").withColumn("dense", F.coalesce("dense", lone))
     full = members.join(marked.select("rep", "low", "low_h", "_sig", "_n", "_k1", "copies", "dense"), "rep").join(mask, "rep", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    likely = full.groupBy("path").applyInArrow(_likely(threshold, positions), "rep long, _id long, _h long, vkey long, pos int, mask long, dense long, _k1 long, copies long")
+    likely = full.groupBy("path").applyInArrow(tidied(_likely(threshold, positions)), "rep long, _id long, _h long, vkey long, pos int, mask long, dense long, _k1 long, copies long")
     if groups is not None:  # all texts are dealt out once, for the small buckets and the dense groups
         every = groups.join(nodes, "rep").select("rep", F.col("low").alias("_id"), F.col("low_h").alias("_h"), F.lit(None).cast("long").alias("vkey"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("mask"), "dense", "_k1", "copies")
         likely = likely.unionByName(every)
     candidates = texts.join(likely.hint("shuffle_hash"), ["_id", "_h"])
     if groups is None:
-        found = candidates.groupBy("vkey").applyInArrow(_verify(width, threshold, positions), FOUND).checkpoint()
+        found = candidates.groupBy("vkey").applyInArrow(tidied(_verify(width, threshold, positions)), FOUND).checkpoint()
     else:
         candidates = candidates.checkpoint()
-        found = candidates.where(F.col("vkey").isNotNull()).groupBy("vkey").applyInArrow(_verify(width, threshold, positions), FOUND)
+        found = candidates.where(F.col("vkey").isNotNull()).groupBy("vkey").applyInArrow(tidied(_verify(width, threshold, positions)), FOUND)
         dense = candidates.where(F.col("vkey").isNull()).groupBy("dense", "rep", "copies").agg(F.first("_z").alias("_z"))  # repeated rows go
         found = found.unionByName(_dense_links(groups, dense, width, threshold)).checkpoint()
     peers = F.array_distinct(F.flatten(F.collect_list("peers")))

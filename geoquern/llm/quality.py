@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import FIT_BYTES, MAX_CHARS, PER_CLASS, labelled_sample
-from ._text import NOT_SPACE, chunks, mix, span_hashes, word_spans
+from ._text import NOT_SPACE, chunks, mix, span_hashes, tidied, word_spans
 
 BITS = 16
 SCALE = 30.0  # of the mean features
@@ -152,7 +152,7 @@ def score_quality(docs: DataFrame, fitted: OrdinalModel, grade: int | None = Non
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c) for c in keep))
     kinds = dict(own.dtypes)
     schema = f"_id {kinds['_id']}, expected_grade double, tail_probability double" + "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return own.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return own.mapInArrow(tidied(run), schema).withColumnRenamed("_id", id_col)
 
 
 def select_quality(docs: DataFrame, fitted: OrdinalModel, threshold: float = 0.5, grade: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,4 +172,4 @@ def select_quality(docs: DataFrame, fitted: OrdinalModel, threshold: float = 0.5
             if tail:
                 yield batch.filter(pa.array(np.concatenate(tail) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import mix, powers
+from ._text import mix, powers, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -386,7 +386,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return own.mapInArrow(run, "_id long, ids array<int>, n_tokens long" + ", round_trip boolean" * check).withColumnRenamed("_id", id_col)
+    return own.mapInArrow(tidied(run), "_id long, ids array<int>, n_tokens long" + ", round_trip boolean" * check).withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -398,4 +398,4 @@ def decode(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else m.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["_id", "text"])
 
     own = encoded.select(F.col(id_col).cast("long").alias("_id"), F.col(ids_col).cast("array<int>").alias("_ids"))
-    return own.mapInArrow(run, "_id long, text string").withColumnRenamed("_id", id_col)
+    return own.mapInArrow(tidied(run), "_id long, text string").withColumnRenamed("_id", id_col)

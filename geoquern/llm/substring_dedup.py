@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import NOT_SPACE, chunks, ensure_checkpoint_dir, spark_partitions, span_hashes, window_hashes, windows, word_spans
+from ._text import NOT_SPACE, chunks, ensure_checkpoint_dir, span_hashes, spark_partitions, tidied, window_hashes, windows, word_spans
 
 _NULL_ID = -(1 << 63)
 _U = np.uint64
@@ -341,13 +341,13 @@ def repeat_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str, res
     bits = max(ANCHOR_BITS, min(60, size.bit_length() + 5))  # a window in a few hundred meets another by chance at most
     own = _versions(docs, id_col, text_col, rest or [])
     bare = own.select("_id", "_ver", "_text")
-    packs = bare.mapInArrow(_index_and_probe(width, buckets, bits), "bucket int, probes binary, twice binary, blocks binary")
-    live = packs.groupBy("bucket").applyInArrow(_live_blocks, "_id long, _ver long, _block int")
+    packs = bare.mapInArrow(tidied(_index_and_probe(width, buckets, bits)), "bucket int, probes binary, twice binary, blocks binary")
+    live = packs.groupBy("bucket").applyInArrow(tidied(_live_blocks), "_id long, _ver long, _block int")
     live = live.groupBy("_id", "_ver").agg(F.collect_set("_block").alias("_blocks"))
-    zipped = lambda df: df.mapInArrow(_zip_texts, T.StructType([*(f for f in df.schema if f.name != "_text"), T.StructField("_z", T.BinaryType())]))
+    zipped = lambda df: df.mapInArrow(tidied(_zip_texts), T.StructType([*(f for f in df.schema if f.name != "_text"), T.StructField("_z", T.BinaryType())]))
     near = zipped(bare).where(F.col("_z").isNotNull()).join(live.hint("shuffle_hash"), ["_id", "_ver"]).select("_id", "_ver", "_z", "_blocks")
-    found = near.mapInArrow(_candidates(width, min_words, buckets), "bucket int, firsts binary, repeats binary")
-    return zipped(own), found.groupBy("bucket").applyInArrow(_repeats, "_id long, _ver long, _start int, _len int")
+    found = near.mapInArrow(tidied(_candidates(width, min_words, buckets)), "bucket int, firsts binary, repeats binary")
+    return zipped(own), found.groupBy("bucket").applyInArrow(tidied(_repeats), "_id long, _ver long, _start int, _len int")
 
 
 def _cut_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str, with_text: bool, rest: list[str] | None = None) -> DataFrame:
@@ -358,7 +358,7 @@ def _cut_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str, with_
         *own, "_z", F.coalesce("_runs._start", F.array().cast("array<int>")).alias("_starts"), F.coalesce("_runs._len", F.array().cast("array<int>")).alias("_lens")
     )
     kinds = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())] + [("kept_text", T.StringType())] * with_text
-    return joined.mapInArrow(_cut(min_words, with_text), T.StructType([*joined.select(*own).schema, *(T.StructField(*k) for k in kinds)]))
+    return joined.mapInArrow(tidied(_cut(min_words, with_text)), T.StructType([*joined.select(*own).schema, *(T.StructField(*k) for k in kinds)]))
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:

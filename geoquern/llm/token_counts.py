@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import ensure_checkpoint_dir
+from ._text import ensure_checkpoint_dir, tidied
 
 #: The split before the merges of byte-level rank files (fixed value of the vocabulary's format).
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,7 +72,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["_id", "n_tokens"])
 
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return own.mapInArrow(run, "_id long, n_tokens long").withColumnRenamed("_id", id_col)
+    return own.mapInArrow(tidied(run), "_id long, n_tokens long").withColumnRenamed("_id", id_col)
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import FIT_BYTES, MAX_CHARS, PER_CLASS, labelled_sample
-from ._text import ALNUM, chunks, lower_ascii, mix, span_hashes, word_spans
+from ._text import ALNUM, chunks, lower_ascii, mix, span_hashes, tidied, word_spans
 
 BITS = 18
 RUN = 128
@@ -285,4 +285,4 @@ def score_toxicity(docs: DataFrame, fitted: Crf, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cat, pa.float64()), pa.array(spans, pa.list_(span))], names=["_id", "score", "spans"])
 
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return own.mapInArrow(run, "_id long, score double, spans array<struct<start:int,end:int,p:double>>").withColumnRenamed("_id", id_col)
+    return own.mapInArrow(tidied(run), "_id long, score double, spans array<struct<start:int,end:int,p:double>>").withColumnRenamed("_id", id_col)
