@@ -5,9 +5,11 @@ is one shingle).  Equal sets are one node with a number of copies.  Nodes are sp
 recursively on sampled shared tokens (min-wise hashes of the sets): a node follows
 ``BRANCHES`` sampled positions per level, and those with the same token at a position
 share a bucket.  Small buckets are compared by brute force.  A large bucket is split again
-on further positions, unless a child would keep half of it (near copies, which no split
-tells apart) or the depth is reached: then it is whole.  Runs are repeated until a pair at
-the threshold meets with probability ``target_recall``.
+on further positions, unless at each of them a child would keep half of it (near copies, which
+no split tells apart) or the depth is reached: then it is whole.  One such position alone says
+little: texts that have no more than a line in common agree wherever a shingle of that line has
+a very small hash.  Runs are repeated until a pair at the threshold meets with probability
+``target_recall``.
 
 A small bucket first drops pairs whose min-wise estimate is far below the threshold (over six
 standard deviations), then the sets of the rest are compared exactly.  A pair that
@@ -167,8 +169,8 @@ def _children(batches):
             out.append(mix(mix(path + _U(j + 1)) ^ sig[rows, p].astype(np.uint64)).view(np.int64))
         n = len(rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(out)), pa.array(np.tile(path.view(np.int64), BRANCHES)), pa.array(np.tile(batch.column(1).to_numpy(zero_copy_only=False), BRANCHES), pa.int64()), pa.array(np.full(n * BRANCHES, -1, np.int32)), pa.array(np.tile(batch.column(2).to_numpy(zero_copy_only=False), BRANCHES), pa.int64())],
-            names=["path", "parent", "parent_n", "pos", "rep"],
+            [pa.array(np.concatenate(out)), pa.array(np.tile(path.view(np.int64), BRANCHES)), pa.array(np.tile(batch.column(1).to_numpy(zero_copy_only=False), BRANCHES), pa.int64()), pa.array(np.repeat(np.arange(BRANCHES, dtype=np.int32), n)), pa.array(np.tile(batch.column(2).to_numpy(zero_copy_only=False), BRANCHES), pa.int64())],
+            names=["path", "parent", "parent_n", "branch", "rep"],
         )
 
 
@@ -334,16 +336,18 @@ def _buckets(nodes: DataFrame, positions: int) -> tuple[DataFrame, DataFrame, Da
         if large.isEmpty():
             break
         dense = large
+        if depth == 0:
+            sigs = sigs.join(large.select("rep").distinct(), "rep", "left_semi").checkpoint()  # all later levels have nodes of the first
         if depth < MAX_DEPTH - 1:
-            kids = large.select("path", "n", "rep").join(sigs, "rep").select("path", "n", "rep", "_sig").mapInArrow(tidied(_children), "path long, parent long, parent_n long, pos int, rep long")
-            per = kids.groupBy("path").agg(F.first("parent").alias("parent"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
-            biggest = per.groupBy("parent").agg(F.max("n").alias("top"))
-            keeps = large.select("path", "n").distinct().join(biggest, F.col("path") == F.col("parent"), "left").where(F.coalesce("top", F.lit(0)) >= 0.5 * F.col("n")).select("path").checkpoint()
+            kids = large.select("path", "n", "rep").join(sigs, "rep").select("path", "n", "rep", "_sig").mapInArrow(tidied(_children), "path long, parent long, parent_n long, branch int, rep long")
+            per = kids.groupBy("path").agg(F.first("parent").alias("parent"), F.first("parent_n").alias("parent_n"), F.first("branch").alias("branch"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
+            stays = per.where("2 * n >= parent_n").select("parent", "branch").distinct()  # the branches of which a child keeps half
+            keeps = stays.groupBy("parent").agg(F.count(F.lit(1)).alias("branches")).where(F.col("branches") == BRANCHES).select(F.col("parent").alias("path")).checkpoint()
             dense = large.join(keeps, "path", "left_semi")
         whole = dense.select("path", "rep") if whole is None else whole.unionByName(dense.select("path", "rep"))
         if depth == MAX_DEPTH - 1:
             break
-        kids = kids.join(keeps.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "pos", "rep")
+        kids = kids.join(keeps.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", F.lit(-1).alias("pos"), "rep")
         kids = kids.join(per.select("path", "n"), "path").select("path", "pos", "rep", "n").checkpoint()
         done.append(kids.where(F.col("n") <= LIMIT))
         large = kids.where(F.col("n") > LIMIT)

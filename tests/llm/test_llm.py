@@ -634,6 +634,24 @@ def test_dense_groups_send_one_row_a_member(spark):
     assert all(y <= 2.3 * x for x, y in zip(small, large, strict=True)) and large[1] <= 3000 and large[2] <= 6000
 
 
+def test_a_common_line_makes_no_dense_group(spark, monkeypatch):
+    """Texts that share no more than a line are split, near copies are not; links and classes stay exact."""
+    monkeypatch.setattr(ngram_join, "LIMIT", 64)
+    ngram_join.ensure_checkpoint_dir(spark)
+    random.seed(21)
+    line = " ".join(f"l{k}" for k in range(13))
+    rows = [(k, line + " " + " ".join(f"u{random.randrange(10**9)}" for _ in range(random.randint(30, 120)))) for k in range(900)]
+    rows += [(1000 + i, line + " " + t) for i, t in near_copies(150)]
+    df = table(spark, rows)
+    own = df.selectExpr("doc_id AS _id", "xxhash64(text) AS _h", "text AS _text")
+    sketch = own.mapInArrow(ngram_join._sketch(5), "_id long, _h long, _k1 long, _k2 long, _n long, _sig binary")
+    whole = ngram_join._buckets(sketch.selectExpr("_id AS rep", "_sig"), 33)[2]
+    members = {r.rep for r in whole.select("rep").distinct().collect()}
+    assert len({i for i in members if i >= 1000}) > 100 and len({i for i in members if i < 1000}) < 90
+    got = sorted(map(tuple, ngram_join.jaccard_classes(df).collect()))
+    assert got == sorted(brute_classes(rows))
+
+
 def test_one_row_per_class(spark, edge, empty):
     kept = ngram_join.keep_one_per_class(edge)
     assert kept.columns == edge.columns
