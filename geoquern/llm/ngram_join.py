@@ -8,8 +8,9 @@ share a bucket.  Small buckets are compared by brute force.  A large bucket is s
 on further positions, unless at each of them a child would keep half of it (near copies, which
 no split tells apart) or the depth is reached: then it is whole.  One such position alone says
 little: texts that have no more than a line in common agree wherever a shingle of that line has
-a very small hash.  Runs are repeated until a pair at the threshold meets with probability
-``target_recall``.
+a very small hash.  Some ``PROBE`` members tell which it is (that decides how a bucket's pairs
+are found, not whether), so only members of buckets that are split get rows of the next level.
+Runs are repeated until a pair at the threshold meets with probability ``target_recall``.
 
 A small bucket first drops pairs whose min-wise estimate is far below the threshold (over six
 standard deviations), then the sets of the rest are compared exactly.  A pair that
@@ -56,6 +57,7 @@ LONE = -(1 << 63)  # the dense group of nodes that are in none
 TOKENS = 48  # min-wise hashes of a set
 BRANCHES = 3
 LIMIT = 512  # members of a small bucket
+PROBE = 256  # members, about, that tell whether a split would leave a large bucket together
 BLOCK = 4096  # members of a dense group that are compared at a time
 TEXTS = 512  # members of a dense group whose texts meet its centre in one task
 SAMPLE = 96  # members, about, that give a dense group its centre
@@ -332,6 +334,7 @@ def _buckets(nodes: DataFrame, positions: int) -> tuple[DataFrame, DataFrame, Da
     small = live.where(F.col("n") <= LIMIT)
     large = live.where(F.col("n") > LIMIT)
     done, whole, sigs = [small], None, nodes.select("rep", "_sig")
+    split = lambda rows: rows.join(sigs, "rep").select("path", "n", "rep", "_sig").mapInArrow(tidied(_children), "path long, parent long, parent_n long, branch int, rep long")
     for depth in range(MAX_DEPTH):
         if large.isEmpty():
             break
@@ -339,16 +342,17 @@ def _buckets(nodes: DataFrame, positions: int) -> tuple[DataFrame, DataFrame, Da
         if depth == 0:
             sigs = sigs.join(large.select("rep").distinct(), "rep", "left_semi").checkpoint()  # all later levels have nodes of the first
         if depth < MAX_DEPTH - 1:
-            kids = large.select("path", "n", "rep").join(sigs, "rep").select("path", "n", "rep", "_sig").mapInArrow(tidied(_children), "path long, parent long, parent_n long, branch int, rep long")
-            per = kids.groupBy("path").agg(F.first("parent").alias("parent"), F.first("parent_n").alias("parent_n"), F.first("branch").alias("branch"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
-            stays = per.where("2 * n >= parent_n").select("parent", "branch").distinct()  # the branches of which a child keeps half
+            drawn = large.where(F.pmod(F.xxhash64("rep", "path"), F.greatest(F.lit(1), F.floor(F.col("n") / PROBE))) == 0)
+            sizes = split(drawn).groupBy("parent", "branch", "path").agg(F.count(F.lit(1)).alias("n"))
+            stays = sizes.groupBy("parent", "branch").agg(F.max("n").alias("top"), F.sum("n").alias("all")).where("2 * top >= all")  # the branches of which a child keeps half
             keeps = stays.groupBy("parent").agg(F.count(F.lit(1)).alias("branches")).where(F.col("branches") == BRANCHES).select(F.col("parent").alias("path")).checkpoint()
             dense = large.join(keeps, "path", "left_semi")
         whole = dense.select("path", "rep") if whole is None else whole.unionByName(dense.select("path", "rep"))
         if depth == MAX_DEPTH - 1:
             break
-        kids = kids.join(keeps.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", F.lit(-1).alias("pos"), "rep")
-        kids = kids.join(per.select("path", "n"), "path").select("path", "pos", "rep", "n").checkpoint()
+        kids = split(large.join(keeps, "path", "left_anti")).select("path", "rep").checkpoint()
+        per = kids.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        kids = kids.join(per, "path").select("path", F.lit(-1).alias("pos"), "rep", "n").checkpoint()
         done.append(kids.where(F.col("n") <= LIMIT))
         large = kids.where(F.col("n") > LIMIT)
     members = None

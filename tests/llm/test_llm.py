@@ -652,6 +652,40 @@ def test_a_common_line_makes_no_dense_group(spark, monkeypatch):
     assert got == sorted(brute_classes(rows))
 
 
+def test_near_copies_get_no_rows_of_the_next_level(spark, monkeypatch):
+    """Whether a bucket is split is told by some of its members; those of a group that stays whole are not sent down."""
+    ngram_join.ensure_checkpoint_dir(spark)
+    children = ngram_join._children
+
+    def sent(n):
+        made = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for batch in children(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        monkeypatch.setattr(ngram_join, "_children", counted)
+        df = table(spark, near_copies(n)).selectExpr("doc_id AS _id", "xxhash64(text) AS _h", "text AS _text")
+        sketch = df.mapInArrow(ngram_join._sketch(5), "_id long, _h long, _k1 long, _k2 long, _n long, _sig binary")
+        whole = ngram_join._buckets(sketch.selectExpr("_id AS rep", "_sig").checkpoint(), 6)[2]
+        return made.value, whole.select("rep").distinct().count()
+
+    (small, _), (large, members) = sent(2000), sent(4000)
+    assert 0 < large <= 1.5 * small and large <= 6 * 3 * 2 * 256 and members > 3900
+
+
+def test_buckets_judged_by_some_members_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIMIT", 40)
+    monkeypatch.setattr(ngram_join, "PROBE", 10)
+    random.seed(22)
+    line = " ".join(f"l{k}" for k in range(13))
+    rows = [(k, line + " " + " ".join(f"u{random.randrange(10**9)}" for _ in range(random.randint(3, 60)))) for k in range(400)]
+    rows += [(1000 + i, line + " " + t) for i, t in near_copies(200)] + [(2000 + i, line + " " + t) for i, t in near_copies(3, seed=5)]
+    got = sorted(map(tuple, ngram_join.jaccard_classes(table(spark, rows)).collect()))
+    assert got == sorted(brute_classes(rows))
+
+
 def test_one_row_per_class(spark, edge, empty):
     kept = ngram_join.keep_one_per_class(edge)
     assert kept.columns == edge.columns
