@@ -675,6 +675,23 @@ def test_near_copies_get_no_rows_of_the_next_level(spark, monkeypatch):
     assert 0 < large <= 1.5 * small and large <= 6 * 3 * 2 * 256 and members > 3900
 
 
+def test_pipeline_stage_sends_no_near_copies_down(spark, monkeypatch):
+    import corpus_pipeline
+
+    made, children = spark.sparkContext.accumulator(0), ngram_join._children
+
+    def counted(batches):
+        for batch in children(batches):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(ngram_join, "_children", counted)
+    rows = [(i, " ".join(f"e{i}" if k == i % 120 else f"t{k}" for k in range(120))) for i in range(2000)]  # one word of each changed
+    kept = corpus_pipeline.near_duplicate_stage(spark, table(spark, rows), "")
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert 0 < made.value <= 6 * 3 * 2 * 256
+
+
 def test_buckets_judged_by_some_members_are_exact(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LIMIT", 40)
     monkeypatch.setattr(ngram_join, "PROBE", 10)
